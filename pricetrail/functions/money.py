@@ -132,6 +132,6 @@ def original_from_instalments(total: Column, cash_percent: Column, price: Column
 
 
 def price_extreme(left: Column, right: Column, left_currency: Column, right_currency: Column) -> Column:
-    """Same currency and one price at least four times the other."""
-    known = (left > 0) & (right > 0) & (F.upper(left_currency) == F.upper(right_currency))
-    return F.coalesce(known & (F.greatest(left, right) >= F.least(left, right) * F.lit(4)), F.lit(False))
+    """One price at least four times the other. Two different currencies never compare."""
+    comparable = (left > 0) & (right > 0) & F.coalesce(left_currency == right_currency, F.lit(True))
+    return F.coalesce(comparable & (F.greatest(left, right) >= F.least(left, right) * F.lit(4)), F.lit(False))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history
+from . import history, rates, watch
 
-MODULES = [history]
+MODULES = [history, watch, rates]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
