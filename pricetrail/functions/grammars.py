@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..rules import catalog
 from . import models
 from .identifiers import opaque_code
-from .patterns import any_of, compact, let, rx, rx_all
+from .patterns import among, any_of, compact, let, rx, rx_all
 from .text import fold_key
 from .titles import search_words
 
@@ -80,7 +80,7 @@ def from_place(tokens: Column, place: Column) -> Column:
 def drop_leading(tokens: Column, words: list[str], fold: bool = False) -> Column:
     """Tokens after the leading run of the given words."""
     low = fold_key if fold else F.lower
-    first = F.array_position(F.transform(tokens, lambda t: ~low(t).isin(*words)), F.lit(True)).cast("int")
+    first = F.array_position(F.transform(tokens, lambda t: ~among(low(t), words)), F.lit(True)).cast("int")
     return let(first, lambda at: from_place(tokens, at))
 
 
@@ -127,7 +127,7 @@ def _gpu_noise(token: Column) -> Column:
     def test(low):
         tight = F.regexp_replace(low, " ", "")
         return (
-            low.isin(*catalog.GPU_NOISE)
+            among(low, catalog.GPU_NOISE)
             | tight.rlike(r"^\d+(?:[.,]\d+)?(?:gb|tb|mb|g)$")
             | tight.rlike(r"^\d{3,5}(?:mhz|mt/?s)?$")
             | opaque_code(token)
@@ -161,7 +161,7 @@ def gpu_variant(title: Column, folded: Column, words: Column, brand: Column) ->
         return F.filter(words, keep)
 
     def shown(kept):
-        telling = F.exists(kept, lambda t: ~F.lower(t).isin(*catalog.VARIANT_MODIFIERS) & ~F.lower(t).rlike(r"^\d+x$"))
+        telling = F.exists(kept, lambda t: ~among(F.lower(t), catalog.VARIANT_MODIFIERS) & ~F.lower(t).rlike(r"^\d+x$"))
         return F.when(telling, joined(F.transform(kept, display)))
 
     return let(chip, lambda c: let(fold_key(brand), lambda own: let(variant_words(c, own), shown)))
@@ -170,9 +170,9 @@ def gpu_variant(title: Column, folded: Column, words: Column, brand: Column) ->
 def gpu_brand(title: Column, folded: Column, words: Column) -> Column:
     """The board maker: a known one before the chip, else any, else the last telling word before the chip."""
     ahead = search_words(F.regexp_extract(title, rf"(?i)^(.*?)(?:{models.NVIDIA}|{models.RADEON})", 1))
-    maker = lambda t: fold_key(t).isin(*catalog.BOARD_BRANDS) & ~fold_key(t).isin(*catalog.CHIP_VENDORS)
+    maker = lambda t: among(fold_key(t), catalog.BOARD_BRANDS) & ~among(fold_key(t), catalog.CHIP_VENDORS)
     telling = lambda t: (
-        ~_gpu_noise(t) & ~F.lower(t).isin(*catalog.GPU_LINES, *catalog.CHIP_VENDORS)
+        ~_gpu_noise(t) & ~among(F.lower(t), [*catalog.GPU_LINES, *catalog.CHIP_VENDORS])
         & ~F.lower(t).rlike(r"^\d+x$") & t.rlike(r"^[A-Za-z][A-Za-z0-9.&-]{1,30}$")
     )
     founders = F.when(
@@ -277,7 +277,7 @@ BOARD_SOCKET = r"(?i)\b(AM[45]|LGA\s?\d{3,4}|sTR[Xx5]\d*)\b"
 
 def motherboard(t: Column, f: Column, w: Column) -> Column:
     spec = lambda x: (
-        fold_key(x).isin(*BOARD_STOP) | x.rlike(r"(?i)^(AM[45]|LGA\d{3,4}|sTR[Xx5]\d*)$") | F.lower(x).isin("wifi", "wi-fi")
+        among(fold_key(x), BOARD_STOP) | x.rlike(r"(?i)^(AM[45]|LGA\d{3,4}|sTR[Xx5]\d*)$") | F.lower(x).isin("wifi", "wi-fi")
     )
 
     def with_words(words):
@@ -360,7 +360,7 @@ def cooler(t: Column, f: Column, w: Column) -> Column:
     master = text.startswith("cooler master ")
     upper = lambda x: (x == F.upper(x)) & x.rlike("[A-Za-z]")
     size = lambda x: F.lower(x).rlike(r"^(?:120|240|280|360|420)(?:mm)?$|^\d{3}mm$")
-    noise = lambda x: fold_key(x).isin(*COOLER_NOISE)
+    noise = lambda x: among(fold_key(x), COOLER_NOISE)
 
     def with_words(words, is_master):
         first, second = head(words), F.get(words, F.lit(1))
@@ -433,7 +433,7 @@ GEAR_STOP = (
 def gear(t: Column, f: Column, w: Column) -> Column:
     """Peripherals, network gear and the rest: brand and a short model line."""
     stop = lambda x: F.lower(x).rlike(r"^\d+(mm|w)$")
-    soft = lambda x: F.lower(x).isin(*GEAR_STOP)
+    soft = lambda x: among(F.lower(x), GEAR_STOP)
 
     def with_words(words):
         usable = (F.size(words) >= 2) & ~F.lower(head(words)).isin("gan", "usb", "usb-c", "type-c")
@@ -461,7 +461,7 @@ def parse(title: Column, category: Column) -> Column:
         for name, grammar in GRAMMARS.items():
             hit = category == name
             chain = F.when(hit, grammar(t, f, w)) if chain is None else chain.when(hit, grammar(t, f, w))
-        return F.coalesce(chain.when(category.isin(*GENERIC), gear(t, f, w)), parsed())
+        return F.coalesce(chain.when(among(category, GENERIC), gear(t, f, w)), parsed())
 
     text = F.nullif(F.trim(title), F.lit(""))
     return let(text, lambda t: let(fold_key(t), lambda f: let(search_words(t), lambda w: read(t, f, w))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import catalog
-from .patterns import compact, let, lookup, rx_all
+from .patterns import among, compact, let, lookup, rx_all
 from .text import fold_key
 
 
@@ -32,7 +32,7 @@ def gtin(raw: Column) -> Column:
 def brand(raw: Column) -> Column:
     """Folded brand words; store placeholders count as no brand."""
     words = F.trim(F.regexp_replace(fold_key(raw), "[^a-z0-9]+", " "))
-    return F.when((words != "") & ~words.isin(*catalog.PLACEHOLDER_BRANDS), words)
+    return F.when((words != "") & ~among(words, catalog.PLACEHOLDER_BRANDS), words)
 
 
 def brand_alias(raw: Column) -> Column:
@@ -130,7 +130,7 @@ def is_identifier_query(query: Column) -> Column:
     first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     key = compact(fold_key(second))
     code = opaque_model(key) | (F.length(F.regexp_replace(F.lower(second), "[^a-z0-9]", "")) >= 8)
-    named = F.lower(first).isin(*IDENTIFIER_BRANDS) & (F.length(second) >= 6)
+    named = among(F.lower(first), IDENTIFIER_BRANDS) & (F.length(second) >= 6)
     return F.coalesce(
         F.when(F.trim(query) == "", F.lit(False))
         .when(F.size(words) == 1, F.length(first) >= 6)

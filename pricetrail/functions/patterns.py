@@ -37,14 +37,23 @@ def any_of(words: Iterable[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))) + ")"
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: Mapping[str, str], key: Column) -> Column:
     """Value of a small fixed table; NULL for other keys."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def literal_list(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr("array(" + ", ".join(_quoted(w) for w in words) + ")")
+
+
+def among(text: Column, words: Iterable[str]) -> Column:
+    """``isin`` for fixed word lists: the list is one literal of the plan."""
+    return F.array_contains(literal_list(words), text)
 
 
 def squash(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..rules import catalog
 from . import models
 from .identifiers import part_number_matches
-from .patterns import any_of, has_any, let, literal_list, lookup, rx, rx_all, squash
+from .patterns import among, any_of, has_any, let, literal_list, lookup, rx, rx_all, squash
 from .text import fold_key
 
 # --- tokens -----------------------------------------------------------------------------------
@@ -24,7 +24,7 @@ def normalize_title(title: Column) -> Column:
     text = F.aggregate(codes, text, lambda acc, m: F.replace(acc, m, F.regexp_replace(m, "[^a-z0-9]+", "")))
     text = F.regexp_replace(text, models.BOARD_DASHED, "$1$2")
     words = F.split(F.trim(F.regexp_replace(text, r"[^a-z0-9\s]+", " ")), r"\s+")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*catalog.TITLE_STOPWORDS))
+    kept = F.filter(words, lambda w: (w != "") & ~among(w, catalog.TITLE_STOPWORDS))
     single = {w: c for w, c in {**catalog.COLOR_FINISHES, **catalog.COLORS}.items() if " " not in w}
     return F.array_join(F.transform(kept, lambda w: F.coalesce(lookup(single, w), w)), " ")
 
@@ -59,7 +59,7 @@ def canonical_color(text: Column) -> Column:
     single = {w: c for w, c in {**catalog.COLOR_FINISHES, **catalog.COLORS}.items() if " " not in w}
 
     def named(plain, words, parts):
-        hues = F.filter(parts, lambda p: p.isin(*catalog.HUES))
+        hues = F.filter(parts, lambda p: among(p, catalog.HUES))
         compound = F.when(
             ~F.exists(parts, lambda p: p.isNull()) & (F.size(hues) == 1), F.array_join(F.array_sort(parts), " ")
         )
@@ -91,17 +91,17 @@ def color_in_title(folded: Column) -> Column:
 
 def color_hues(value: Column) -> Column:
     """Known hues in a canonical colour."""
-    words = F.filter(F.split(value, " "), lambda w: w.isin(*catalog.HUES))
-    whole = F.when(value.isin(*catalog.HUES), F.array(value)).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(value, " "), lambda w: among(w, catalog.HUES))
+    whole = F.when(among(value, catalog.HUES), F.array(value)).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.concat(words, whole)))
 
 
 def colors_compatible(left: Column, right: Column) -> Column:
     """Equal hues, or a bare finish beside a hue that goes with it."""
-    hue_words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: w.isin(*catalog.HUES))))
+    hue_words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda w: among(w, catalog.HUES))))
     a, b = hue_words(left), hue_words(right)
-    finish = (left.isin(*catalog.FINISH_ONLY) & right.isin(*catalog.FINISH_HUES)) | (
-        right.isin(*catalog.FINISH_ONLY) & left.isin(*catalog.FINISH_HUES)
+    finish = (among(left, catalog.FINISH_ONLY) & among(right, catalog.FINISH_HUES)) | (
+        among(right, catalog.FINISH_ONLY) & among(left, catalog.FINISH_HUES)
     )
     return (left == right) | ((F.size(a) > 0) & (a == b)) | finish
 
@@ -121,28 +121,45 @@ def sized_value(value: Column) -> Column:
     return F.regexp_replace(tight, r"^(\d+)g$", "$1gb")
 
 
-def variant_value(key: Column, value: Column) -> Column:
-    """Canonical value of a variant attribute."""
-    return let(squash(fold_key(value)), lambda text: _variant_value(key, text))
+INCHES = r"^(\d+(?:\.\d+)?)(?:in|inch|inches|pol|polegadas|\"|')?$"
+GRID = r"(\d{3,5})\s*x\s*(\d{3,5})"
 
 
-def _variant_value(key: Column, text: Column) -> Column:
+def _screen_value(text: Column) -> Column:
     tight = F.regexp_replace(text, r"\s+", "")
-    inches = r"^(\d+(?:\.\d+)?)(?:in|inch|inches|pol|polegadas|\"|')?$"
-    grid = r"(\d{3,5})\s*x\s*(\d{3,5})"
-    return (
-        F.when(key == "screen_size", F.when(tight.rlike(inches), F.concat(F.regexp_extract(tight, inches, 1), F.lit("in"))).otherwise(tight))
-        .when(
-            (key == "resolution") & text.rlike(grid),
-            F.concat_ws("x", F.regexp_extract(text, grid, 1), F.regexp_extract(text, grid, 2)),
-        )
-        .when(key == "refresh_rate", F.regexp_replace(text, r"\s+hz\b", "hz"))
-        .when(key.isin(*SIZED), sized_value(text))
-        .when(key == "edition", F.coalesce(models.variant_key(text), F.regexp_replace(text, "[^a-z0-9]+", "")))
-        .when(key == "color", canonical_color(text))
-        .when(key == "network_lock", F.coalesce(lookup(catalog.LOCK_WORDS, text), text))
-        .otherwise(text)
-    )
+    return F.when(tight.rlike(INCHES), F.concat(F.regexp_extract(tight, INCHES, 1), F.lit("in"))).otherwise(tight)
+
+
+def _grid_value(text: Column) -> Column:
+    pair = F.concat_ws("x", F.regexp_extract(text, GRID, 1), F.regexp_extract(text, GRID, 2))
+    return F.when(text.rlike(GRID), pair).otherwise(text)
+
+
+# canonical value per variant attribute, from folded text
+VALUE_RULES = {
+    "screen_size": _screen_value,
+    "resolution": _grid_value,
+    "refresh_rate": lambda t: F.regexp_replace(t, r"\s+hz\b", "hz"),
+    **{k: sized_value for k in SIZED},
+    "edition": lambda t: F.coalesce(models.variant_key(t), F.regexp_replace(t, "[^a-z0-9]+", "")),
+    "color": canonical_color,
+    "network_lock": lambda t: F.coalesce(lookup(catalog.LOCK_WORDS, t), t),
+}
+
+
+def variant_value(key: Column | str, value: Column) -> Column:
+    """Canonical value of a variant attribute."""
+    if isinstance(key, str):
+        return let(squash(fold_key(value)), VALUE_RULES.get(key, lambda t: t))
+
+    def by_key(text):
+        chain = None
+        for name, rule in VALUE_RULES.items():
+            hit = key == name
+            chain = F.when(hit, rule(text)) if chain is None else chain.when(hit, rule(text))
+        return chain.otherwise(text)
+
+    return let(squash(fold_key(value)), by_key)
 
 
 def capacity_gb(value: Column) -> Column:
@@ -175,7 +192,7 @@ def variant_attribute(key: Column, value: Column) -> Column:
     mapped = F.coalesce(lookup(catalog.VARIANT_KEY_ALIASES, label), label)
     disk = capacity_gb(sized_value(squash(fold_key(value)))) >= catalog.STORAGE_LIKE_MIN_GB
     promoted = F.when((mapped == "size") & F.coalesce(disk, F.lit(False)), "storage").otherwise(mapped)
-    return F.when(promoted.isin(*catalog.VARIANT_KEYS), promoted)
+    return F.when(among(promoted, catalog.VARIANT_KEYS), promoted)
 
 
 def variant_entries(source: Column) -> Column:
@@ -300,7 +317,7 @@ def condition_conflict(reference: Column, candidate: Column) -> Column:
 
 def strip_condition(normalized: Column) -> Column:
     words = F.filter(
-        F.split(normalized, r"\s+"), lambda w: ~w.isin(*catalog.CONDITION_WORDS, "premium", "excellent")
+        F.split(normalized, r"\s+"), lambda w: ~among(w, [*catalog.CONDITION_WORDS, "premium", "excellent"])
     )
     return F.array_join(words, " ")
 

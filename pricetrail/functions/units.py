@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import rx, squash
+from .patterns import let, rx, squash
 from .text import fold_key
 
 PLACEHOLDERS = ("null", "none", "n/a", "-")
@@ -96,8 +96,10 @@ def gpu_name(text: Column) -> Column:
 
 def normalise(key: Column, value: Column) -> Column:
     """Value with the customary unit for its attribute; unknown shapes stay as they are."""
-    text = F.nullif(F.trim(value), F.lit(""))
-    key = F.lower(key)
+    return let(F.nullif(F.trim(value), F.lit("")), lambda text: let(F.lower(key), lambda k: _normalised(k, text)))
+
+
+def _normalised(key: Column, text: Column) -> Column:
     inches = rx(text, r"(?i)(\d+(?:[.,]\d+)?)\s*(?:\"|''|in|inch|polegadas?)?", 1)
     metric = text.rlike(r"(?i)\b\d+(?:[.,]\d+)?\s*(?:mm|cm)\b")
     sized = F.when(metric, length(text)).when(
@@ -138,25 +140,25 @@ def amount(text: Column, pattern: str = MEMORY) -> Column:
 
 def clean(attribute: Column, raw: Column) -> Column:
     """A raw specification value, cleaned for its attribute; placeholders become NULL."""
-    text = F.trim(raw)
-    usable = F.when((text != "") & ~F.lower(text).isin(*PLACEHOLDERS), text)
-    text = F.regexp_replace(squash(usable), r"^[ .]+|[ .]+$", "")
-    low = F.lower(text)
-    screen = F.concat(plain_number(rx(text, SCREEN, 1)), F.lit('"'))
-    few_words = F.size(F.split(text, r"\s+")) <= 4
-    return F.nullif(
-        F.when(attribute.isin("storage", "ram", "vram", "capacity", "module_capacity"), F.coalesce(amount(text), text))
-        .when(attribute == "voltage", F.coalesce(F.concat(_whole(rx(text, VOLTS, 1)), F.lit(" V")), text))
-        .when(attribute == "screen_size", F.when(few_words, screen))
-        .when(attribute.isin("color", "brand"), title_case(text))
-        .when(
-            attribute == "wifi",
-            F.when(low.isin("true", "yes", "sim", "1"), "true")
-            .when(low.isin("false", "no", "nao", "não", "0"), "false")
-            .when(low.contains("wi"), "true")
-            .otherwise(text),
+    def cleaned(text):
+        low = F.lower(text)
+        screen = F.concat(plain_number(rx(text, SCREEN, 1)), F.lit('"'))
+        return (
+            F.when(attribute.isin("storage", "ram", "vram", "capacity", "module_capacity"), F.coalesce(amount(text), text))
+            .when(attribute == "voltage", F.coalesce(F.concat(_whole(rx(text, VOLTS, 1)), F.lit(" V")), text))
+            .when(attribute == "screen_size", F.when(F.size(F.split(text, r"\s+")) <= 4, screen))
+            .when(attribute.isin("color", "brand"), title_case(text))
+            .when(
+                attribute == "wifi",
+                F.when(low.isin("true", "yes", "sim", "1"), "true")
+                .when(low.isin("false", "no", "nao", "não", "0"), "false")
+                .when(low.contains("wi"), "true")
+                .otherwise(text),
+            )
+            .when(attribute == "overclocked", F.when(low.isin("true", "yes", "oc", "1"), "true").otherwise(text))
+            .otherwise(text)
         )
-        .when(attribute == "overclocked", F.when(low.isin("true", "yes", "oc", "1"), "true").otherwise(text))
-        .otherwise(text),
-        F.lit(""),
-    )
+
+    usable = F.when(~F.lower(F.trim(raw)).isin(*PLACEHOLDERS), raw)
+    tidy = F.regexp_replace(squash(usable), r"^[ .]+|[ .]+$", "")
+    return F.nullif(let(tidy, cleaned), F.lit(""))

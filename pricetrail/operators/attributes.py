@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grammars, identifiers, title_attributes, units
-from ..functions.patterns import any_of, literal_list, squash
+from ..functions.patterns import among, any_of, let, literal_list, squash
 from ..functions.text import fold_key
 from ..rules import catalog
 
@@ -25,17 +25,19 @@ def spec_attribute(attribute: str, label: Column, value: Column) -> Column:
     Short aliases must be whole words; long ones match as parts either way.
     RAM, storage and video memory labels are kept apart.
     """
-    folded = squash(fold_key(label))
+    return let(squash(fold_key(label)), lambda folded: label_fits(attribute, folded, value))
+
+
+def label_fits(attribute: str, folded: Column, value: Column) -> Column:
     aliases = catalog.SPEC_LABELS.get(attribute, [attribute])
-    hit = folded.isin(*aliases)
     short = [a for a in aliases if len(a) <= 3]
     long = [a for a in aliases if len(a) > 3]
+    hit = among(folded, aliases)
     if short:
         hit = hit | folded.rlike(rf"\b{any_of(short)}\b")
     if long:
-        hit = hit | folded.rlike(any_of(long))
-        for alias in long:
-            hit = hit | ((folded != "") & F.lit(alias).contains(folded))
+        # a label inside an alias, as "memory" in "system memory"
+        hit = hit | folded.rlike(any_of(long)) | ((folded != "") & F.lit("|".join(long)).contains(folded))
     if attribute == "storage":
         hit = hit & ~folded.rlike(RAM_LABEL)
     if attribute == "ram":
@@ -51,22 +53,14 @@ def from_specifications(specs: DataFrame, attributes: Sequence[str]) -> DataFram
     Every label is tested against all attributes in one pass over the row; an
     attribute's first fitting label in the sheet's order counts.
     """
-    label, value = F.col("label"), F.col("value")
-    tested = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    spec_attribute(a, label, value),
-                    F.struct(F.lit(a).alias("attribute"), units.clean(F.lit(a), value).alias("value")),
-                )
-                for a in attributes
-            ]
-        )
-    )
-    rows = specs.select("product_id", "source", "position", F.explode(tested).alias("e")).select(
-        "product_id", "source", "position", "e.attribute", "e.value"
+    folded, value = F.col("folded"), F.col("value")
+    fits = F.array_compact(F.array(*[F.when(label_fits(a, folded, value), F.lit(a)) for a in attributes]))
+    rows = (
+        specs.withColumn("folded", squash(fold_key(F.col("label"))))
+        .select("product_id", "source", "position", "value", F.explode(fits).alias("attribute"))
+        .withColumn("value", units.clean(F.col("attribute"), value))
+        .where(F.col("value").isNotNull())
     )
-    rows = rows.where(F.col("value").isNotNull())
     return rows.groupBy("product_id", "attribute", "source").agg(F.min_by("value", "position").alias("value"))
 
 
@@ -82,7 +76,7 @@ def resolve(evidence: DataFrame) -> DataFrame:
     """One value per product and attribute: the best source that has one, and which it was."""
     rank = F.array_position(literal_list(catalog.EVIDENCE_ORDER), F.col("source"))
     usable = evidence.where(F.col("value").isNotNull() & (F.trim("value") != ""))
-    safe = usable.where(~(F.col("source").isin("title", "url") & F.col("attribute").isin(*NOT_FROM_TITLE)))
+    safe = usable.where(~(F.col("source").isin("title", "url") & among(F.col("attribute"), NOT_FROM_TITLE)))
     best = F.min_by(F.struct("value", "source"), F.struct(rank.alias("r"), F.col("value").alias("v")))
     return safe.groupBy("product_id", "attribute").agg(best.alias("b")).select("product_id", "attribute", "b.value", "b.source")
 
@@ -132,7 +126,7 @@ def apply_category_identity(products: DataFrame) -> DataFrame:
     )
     p = F.col("__p")
     brand, brand_from = get("values", "brand"), get("sources", "brand")
-    noise = F.lower(brand).isin(*catalog.CATEGORY_PREFIXES, "gpu", "nvidia", "geforce", "radeon")
+    noise = among(F.lower(brand), [*catalog.CATEGORY_PREFIXES, "gpu", "nvidia", "geforce", "radeon"])
     from_title = brand_from == "title"
     sure = p["confidence"].isin("exact_title", "contextual")
     take_brand = p["brand"].isNotNull() & (brand.isNull() | (from_title & (noise | sure)))
