@@ -29,22 +29,20 @@ def parse_money(text: Column, currency: Column | None = None) -> Column:
     """Locale money text to DECIMAL(18,4), NULL when it is no amount above zero.
 
     BRL and PYG write points between thousands and a comma before the decimals.
-    Other currencies write commas between thousands, unless a single comma with
-    one or two digits behind it stands for the decimal point.
+    In other currencies a single comma without any point is the decimal sign;
+    text that then still holds a comma is no amount.
     """
-    raw = F.regexp_replace(text, r"[^0-9,.\-]", "")
-    latin = F.regexp_replace(F.regexp_replace(raw, r"\.", ""), ",", ".")
-    lone_comma = raw.rlike(r"^-?[0-9]+,[0-9]{1,2}$")
-    other = F.when(lone_comma, F.regexp_replace(raw, ",", ".")).otherwise(
-        F.regexp_replace(raw, ",", "")
-    )
+    raw = F.regexp_replace(F.translate(text, "−", "-"), r"[^0-9,.\-]", "")
+    latin = F.translate(raw, ",.", ".")
+    lone_comma = raw.rlike(r"^[^,.]*,[^,.]*$")
+    other = F.when(lone_comma, F.translate(raw, ",", ".")).otherwise(raw)
     is_latin = F.lit(False) if currency is None else F.upper(F.trim(currency)).isin("BRL", "PYG")
     return positive(F.when(F.coalesce(is_latin, F.lit(False)), latin).otherwise(other).try_cast(MONEY))
 
 
 def parse_rate_text(text: Column, kind: str = "decimal(24,12)") -> Column:
     """Rate text with a comma or point decimal; several points separate thousands."""
-    raw = F.regexp_replace(F.trim(text), "[ ​]", "")
+    raw = F.regexp_replace(text, r"[\u00a0\u200b\s]", "")
     commas = F.regexp_replace(F.regexp_replace(raw, r"\.", ""), ",", ".")
     points = F.when(
         F.length(raw) - F.length(F.regexp_replace(raw, r"\.", "")) > 1,
@@ -116,18 +114,19 @@ def discount_percent(price: Column, original: Column, pix: Column) -> Column:
 def consistency_warnings(original: Column, pix: Column, card: Column) -> Column:
     return F.array_compact(
         F.array(
-            F.when(original < pix, F.lit("original_price_lower_than_pix_price")),
-            F.when(original < card, F.lit("original_price_lower_than_card_price")),
-            F.when(pix > card, F.lit("pix_price_higher_than_card_price")),
+            F.when(original < pix, F.lit("original_lt_pix")),
+            F.when(original < card, F.lit("original_lt_card")),
+            F.when(pix > card, F.lit("pix_gt_card")),
         )
     )
 
 
 def original_from_instalments(total: Column, cash_percent: Column, price: Column) -> Column:
-    """The instalment total, if taking the cash discount off it gives the price back."""
-    rebuilt = F.round(total * (F.lit(1) - cash_percent / F.lit(100)), 2)
-    room = F.greatest(F.lit("0.05").cast("decimal(18,6)"), (price * F.lit("0.0005").cast("decimal(8,6)")).cast("decimal(18,6)"))
-    ok = (total > price) & (cash_percent > 0) & (cash_percent < 100) & (F.abs(rebuilt - price) <= room)
+    """The instalment total, if taking the cash discount off it gives the price back within a few cents."""
+    wide = "decimal(24,8)"
+    expected = (total.cast(MONEY) * (F.lit(100) - cash_percent.cast("decimal(6,2)"))).cast("decimal(30,8)") / F.lit(100).cast("decimal(3,0)")
+    room = F.greatest(F.lit("0.05").cast(wide), (total.cast(MONEY) * F.lit("0.0005").cast("decimal(8,6)")).cast(wide))
+    ok = (total > price) & (F.abs(expected.cast(wide) - price.cast(wide)) <= room)
     return F.when(ok, total)
 
 

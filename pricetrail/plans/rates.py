@@ -207,14 +207,21 @@ def fx_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "money_parse",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,4)) END AS amount FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 OR (o_orderkey % 2 = 1 AND o_orderkey % 3 = 2 AND o_totalprice >= 1000) THEN NULL
+      ELSE CAST(o_totalprice AS DECIMAL(18,4)) END AS amount FROM orders""",
 )
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals written the Brazilian and the American way, then parsed back."""
+    """Totals written the Brazilian way, plainly, with a decimal comma, and with both signs, then parsed back."""
     key = F.col("o_orderkey")
     us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
-    br = F.translate(us, ",.", ".,")
-    text = F.when(key % 5 == 4, F.concat(F.lit("-"), us)).when(key % 2 == 0, F.concat(F.lit("R$ "), br)).otherwise(F.concat(F.lit("US$"), us))
+    plain = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = (
+        F.when(key % 5 == 4, F.concat(F.lit("-"), plain))
+        .when(key % 2 == 0, F.concat(F.lit("R$ "), F.translate(us, ",.", ".,")))
+        .when(key % 3 == 0, F.concat(F.lit("US$"), plain))
+        .when(key % 3 == 1, F.concat(F.translate(plain, ".", ","), F.lit(" USD")))
+        .otherwise(F.concat(F.lit("US$"), us))
+    )
     currency = F.when(key % 2 == 0, "BRL").otherwise("USD")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), currency.alias("currency"))
     return rows.select("o_orderkey", money.parse_money(F.col("text"), F.col("currency")).alias("amount"))
@@ -225,9 +232,9 @@ def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,4)) AS original,
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS price,
         CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.97 AS DECIMAL(4,2)) AS DECIMAL(18,4)) END AS pix FROM lineitem)
-    SELECT concat_ws(',', CASE WHEN original < pix THEN 'original_price_lower_than_pix_price' END,
-      CASE WHEN original < price THEN 'original_price_lower_than_card_price' END,
-      CASE WHEN pix > price THEN 'pix_price_higher_than_card_price' END) AS warnings, count(*) AS offers,
+    SELECT concat_ws(',', CASE WHEN original < pix THEN 'original_lt_pix' END,
+      CASE WHEN original < price THEN 'original_lt_card' END,
+      CASE WHEN pix > price THEN 'pix_gt_card' END) AS warnings, count(*) AS offers,
       count(*) FILTER (original > coalesce(pix, price)) AS discounted FROM p GROUP BY 1""",
 )
 def price_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
