@@ -74,9 +74,9 @@ def with_store(links: DataFrame, domains: DataFrame, url_column: str = "url") ->
     map, so rows are neither exploded nor shuffled.
     """
     rows = domains.select("domain", F.struct(*[c for c in domains.columns if c != "domain"]).alias("entry"))
-    table = rows.agg(F.map_from_entries(F.collect_list(F.struct("domain", "entry"))).alias("__domains"))
-    # one row: the store dimension (fixed, a few dozen domains)
-    joined = links.join(F.broadcast(table))
+    # the store dimension (fixed, a few dozen domains) as one map value
+    table = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", "entry")))).alias("__domains"))
+    joined = links.withColumn("__domains", table.scalar())
     found = F.filter(
         F.transform(suffixes(host(F.col(url_column))), lambda s: F.try_element_at(F.col("__domains"), s)), lambda e: e.isNotNull()
     )

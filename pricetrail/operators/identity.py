@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grammars, identifiers, models, title_attributes, titles, units
-from ..functions.patterns import among, compact, let, rx, rx_all, squash
+from ..functions.patterns import among, compact, let, literal_list, rx, rx_all, squash
 from ..functions.text import fold_key
 from ..rules import catalog
 from ..schema import MONEY, STR_MAP
@@ -372,11 +374,11 @@ def embedding_texts(rows: DataFrame) -> DataFrame:
     )
 
 
-def search_queries(rows: DataFrame, locales: DataFrame) -> DataFrame:
+def search_queries(rows: DataFrame, locales: Sequence[str]) -> DataFrame:
     """Ordered distinct search queries per identity and locale.
 
     Title phrase first, then the barcode, the category's own ladder from exact to
-    relaxed, and the part numbers. ``locales`` is a small dimension (locale).
+    relaxed, and the part numbers. ``locales`` are the stores' search languages.
     """
     t = fold_key(F.col("title"))
     language = F.substring_index(F.lower("locale"), "-", 1)
@@ -390,7 +392,7 @@ def search_queries(rows: DataFrame, locales: DataFrame) -> DataFrame:
         for lang, label in labels.items():
             hit = (F.col("color") == hue) & (language == lang)
             color = F.when(hit, label) if color is None else color.when(hit, label)
-    staged = rows.crossJoin(F.broadcast(locales)).withColumns(
+    staged = rows.withColumn("locale", F.explode(literal_list(locales))).withColumns(
         {
             "__label": localized,
             "__hue": F.coalesce(color, F.col("color")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -332,6 +333,7 @@ def expire_promotions(listings: DataFrame, now: Column) -> DataFrame:
 # Revisit interval limits in seconds.
 TTL_START, TTL_MIN, TTL_MAX = 3600, 900, 86400
 UNCHANGED_BEFORE_LONGER = 3
+TTL_INITIAL = [TTL_START, 0, 0]
 
 TTL_OUT = T.StructType(
     [
@@ -342,7 +344,7 @@ TTL_OUT = T.StructType(
 )
 
 
-def _ttl_step(state, row):
+def ttl_step(state, row):
     ttl, unchanged, failures = state
     if row.outcome != "ok":
         failures += 1
@@ -364,7 +366,7 @@ def _ttl_step(state, row):
 def revisit_intervals(visits: DataFrame, cut_rows: int | None = None) -> DataFrame:
     """Revisit interval after each visit (outcome, changed, available), and the next due time."""
     rows = fold(
-        visits, ["listing_id"], ["scraped_at", "observation_id"], _ttl_step, [TTL_START, 0, 0], TTL_OUT, cut_rows
+        visits, ["listing_id"], ["scraped_at", "observation_id"], ttl_step, TTL_INITIAL, TTL_OUT, cut_rows
     )
     return rows.withColumn("next_scrape_at", plus_seconds(F.col("scraped_at"), F.col("ttl")))
 
@@ -396,17 +398,13 @@ QUOTA_OUT = T.StructType(
 )
 
 
-def quota_audit(
-    requests: DataFrame, limit: int, window_seconds: int, cut_rows: int | None = None
-) -> DataFrame:
-    """Token bucket per identity over a request log: allowed, whole tokens left, retry after."""
+def quota_step(limit: int, window_seconds: int):
+    """Token bucket: the state is (tokens, time of the last request in seconds)."""
     if limit <= 0 or window_seconds <= 0:
         raise ValueError("limit and window must be above zero")
     rate = limit / window_seconds
 
     def step(state, row):
-        import math
-
         tokens, at = state
         now = row.at_us / 1_000_000
         if at is not None:
@@ -417,8 +415,16 @@ def quota_audit(
         wait = 0 if allowed else max(1, math.ceil((1 - tokens) / rate))
         return [tokens, now], (allowed, max(0, math.floor(tokens)), wait)
 
+    return step, [float(limit), None]
+
+
+def quota_audit(
+    requests: DataFrame, limit: int, window_seconds: int, cut_rows: int | None = None
+) -> DataFrame:
+    """Token bucket per identity over a request log: allowed, whole tokens left, retry after."""
+    step, start = quota_step(limit, window_seconds)
     rows = requests.withColumn("at_us", F.unix_micros("at"))
-    return fold(rows, ["identity"], ["at_us", "request_id"], step, [float(limit), None], QUOTA_OUT, cut_rows).drop("at_us")
+    return fold(rows, ["identity"], ["at_us", "request_id"], step, start, QUOTA_OUT, cut_rows).drop("at_us")
 
 
 SPACING_OUT = T.StructType(
@@ -426,13 +432,10 @@ SPACING_OUT = T.StructType(
 )
 
 
-def spacing_audit(
-    fetches: DataFrame, url_cooldown: float = 300, host_spacing: float = 15.0, cut_rows: int | None = None
-) -> DataFrame:
-    """Which fetches a per-URL cooldown and a per-host spacing would have let through.
+def spacing_step(url_cooldown: float, host_spacing: float):
+    """Two gates of a host: the state is (next free time, URLs whose cooldown still runs).
 
-    A rejected fetch moves neither gate. The state of a host holds the URLs
-    whose cooldown still runs, which the host spacing bounds.
+    The host spacing bounds how many URLs can be in cooldown at a time.
     """
 
     def step(state, row):
@@ -446,8 +449,42 @@ def spacing_audit(
         urls[row.url] = now + url_cooldown
         return [now + host_spacing, urls], (True, None, 0)
 
+    return step, [None, {}]
+
+
+def spacing_audit(
+    fetches: DataFrame, url_cooldown: float = 300, host_spacing: float = 15.0, cut_rows: int | None = None
+) -> DataFrame:
+    """Which fetches a per-URL cooldown and a per-host spacing would have let through.
+
+    A rejected fetch moves neither gate.
+    """
+    step, start = spacing_step(url_cooldown, host_spacing)
     rows = fetches.withColumn("at_us", F.unix_micros("at"))
-    return fold(rows, ["host"], ["at_us", "request_id"], step, [None, {}], SPACING_OUT, cut_rows).drop("at_us")
+    return fold(rows, ["host"], ["at_us", "request_id"], step, start, SPACING_OUT, cut_rows).drop("at_us")
+
+
+CLAIM_TTL = 3600
+CLAIM_OUT = T.StructType([T.StructField("claimed", T.BooleanType())])
+
+
+def claim_step(ttl: int = CLAIM_TTL):
+    """First sight of a fingerprint, and again once its time-to-live has passed."""
+
+    def step(until, row):
+        now = row.at_us / 1_000_000
+        if until is None or now >= until:
+            return now + ttl, (True,)
+        return until, (False,)
+
+    return step, None
+
+
+def claims(requests: DataFrame, ttl: int = CLAIM_TTL, cut_rows: int | None = None) -> DataFrame:
+    """Add ``claimed``: the request is no repeat of its fingerprint within the time-to-live."""
+    step, start = claim_step(ttl)
+    rows = requests.withColumn("at_us", F.unix_micros("at"))
+    return fold(rows, ["fingerprint"], ["at_us", "request_id"], step, start, CLAIM_OUT, cut_rows).drop("at_us")
 
 
 def store_pauses(
@@ -491,6 +528,24 @@ def health_timeline(
     ).drop("__prev")
 
 
+HEALTH_OUT = T.StructType([T.StructField("state_before", T.StringType()), T.StructField("state_after", T.StringType())])
+
+
+def health_step(threshold: int = 3, cooldown: int = 120):
+    """The circuit as a recurrence, for streams: the state is (failures in a row, time opened)."""
+
+    def step(state, row):
+        failures, opened = state
+        before = "closed"
+        if failures >= threshold:
+            before = "half_open" if row.at_us >= opened + cooldown * 1_000_000 else "open"
+        failures = failures + 1 if row.outcome == "failed" else 0
+        opened = int(row.at_us) if failures >= threshold else None
+        return [failures, opened], (before, "open" if failures >= threshold else "closed")
+
+    return step, [0, None]
+
+
 def budget_use(
     attempts: DataFrame, keys: list[str], order: list[str], budgets: Mapping[str, int], cut_rows: int | None = None
 ) -> DataFrame:

@@ -76,13 +76,18 @@ def start_runs(requests: DataFrame, runs: DataFrame, stores: DataFrame, now: Col
         F.sha2(F.concat_ws("|", F.col("product_id").cast("string"), F.unix_micros(now).cast("string")), 256).alias("id"),
         "product_id", "r.*", F.lit("pending").alias("status"), now.alias("started_at"), F.lit(0).alias("attempts"),
     )
-    targets = F.broadcast(eligible_stores(stores).select("store_key", "store", "country", "label"))
-    own = (F.col("t.store_key") == F.lower("m.reference_store")) | (
-        (F.col("t.store") == F.lower("m.reference_store"))
-        & (F.col("m.reference_country").isNull() | (F.col("t.country") == F.upper("m.reference_country")))
-    )
-    seeds = made.alias("m").join(targets.alias("t"), ~F.coalesce(own, F.lit(False))).select(
-        F.col("m.id").alias("run_id"), F.col("t.store_key").alias("store"), F.col("t.label").alias("display_name"), F.lit("pending").alias("status")
+    # the store dimension as one array value: every new run is exploded over it
+    targets = eligible_stores(stores).agg(F.array_sort(F.collect_list(F.struct("store_key", "store", "country", "label")))).scalar()
+    rows = made.withColumn("__targets", targets)
+
+    def is_other(t):
+        same_name = (t["store"] == F.lower("reference_store")) & (
+            F.col("reference_country").isNull() | (t["country"] == F.upper("reference_country"))
+        )
+        return ~F.coalesce((t["store_key"] == F.lower("reference_store")) | same_name, F.lit(False))
+
+    seeds = rows.select(F.col("id").alias("run_id"), F.explode(F.filter("__targets", is_other)).alias("t")).select(
+        "run_id", F.col("t.store_key").alias("store"), F.col("t.label").alias("display_name"), F.lit("pending").alias("status")
     )
     return made, seeds
 
@@ -110,9 +115,7 @@ def order_stores(stores: DataFrame, reference_store: str | None = None, referenc
         F.when(F.bool_or(F.col("locale_rank") == home), home).otherwise(F.mode("locale_rank", deterministic=True)).alias("main_locale")
     )
     rich = F.col("barcode_rank") <= rules.FIRST_WAVE_MAX_RANK
-    rows = rows.join(F.broadcast(main)).withColumn(
-        "wave", F.when(F.col("locale_rank") != F.col("main_locale"), 3).when(rich, 1).otherwise(2)
-    )
+    rows = rows.withColumn("wave", F.when(F.col("locale_rank") != main.scalar(), 3).when(rich, 1).otherwise(2))
     reference = (reference_store or "").strip().lower()
     last = (F.col("store_key") == reference) & F.lit(bool(reference) and not reference_has_gtin)
     return rows.withColumn("reference_last", last.cast("int")).orderBy(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history, rates, watch
+from . import history, rates, resolution, watch, wording
 
-MODULES = [history, watch, rates]
+MODULES = [history, watch, rates, wording, resolution]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
