@@ -11,10 +11,11 @@ from ..functions import identifiers, titles, units, urls
 from ..functions.money import any_amount
 from ..functions.text import blank_to_null, fold_key
 from ..schema import CONFIDENCE, PAYLOAD
+from ..session import staged
 from . import fx, matching
 from .changes import fingerprint, latest_per_key, money_text
 from .feed import visible
-from .identity import build_identities, identity_struct
+from .identity import build_identities, build_sides, identity_struct
 from .monitoring import initial_schedule, promotion_in_force
 
 TITLE_CHARS = 512
@@ -276,9 +277,9 @@ def identity_matches(requests: DataFrame, products: DataFrame, identifiers_table
         F.try_element_at(attrs, F.lit("variant")).alias("variant"), F.try_element_at(attrs, F.lit("category")).alias("category"),
         attrs.alias("metadata"),
     ).join(barcode, "ref_id", "left")
-    refs = build_identities(known).withColumn("stored_brand", identifiers.brand(F.col("brand")))
+    known = known.withColumn("stored_brand", identifiers.brand(F.col("brand")))
     asked = requests.select("request_id", "viewer_id", "is_admin", "store", "country", "title", "brand", "model", "variant", "category", "gtin")
-    cands = build_identities(asked.withColumn("product_id", F.lit(None).cast("string")))
+    refs, cands = build_sides(known, asked.withColumn("product_id", F.lit(None).cast("string")))
     cands = cands.where(F.col("brand").isNotNull() & F.col("model_key").isNotNull())
     right = cands.select(
         F.col("request_id").alias("cand_id"), "viewer_id", "is_admin", F.col("store").alias("__store"), "country",
@@ -386,13 +387,13 @@ def new_gtins(identifiers_table: DataFrame, wanted: DataFrame) -> DataFrame:
     """Barcodes to attach (product_id, gtin, source, seq): none for products that have one, none owned elsewhere."""
     have = identifiers_table.where("type = 'gtin'")
     rows = wanted.withColumn("value_normalized", identifiers.gtin(F.col("gtin"))).where(F.col("value_normalized").isNotNull())
-    one = rows.groupBy("product_id").agg(F.min_by(F.struct("value_normalized", "source"), F.col("seq")).alias("r")).select("product_id", "r.*")
-    one = one.groupBy("value_normalized").agg(F.min(F.struct("product_id", "source")).alias("r")).select("r.product_id", "value_normalized", "r.source")
-    return (
-        one.join(have.select("product_id").distinct(), "product_id", "left_anti")
-        .join(have.select("value_normalized").distinct(), "value_normalized", "left_anti")
-        .select("product_id", F.lit("gtin").alias("type"), "value_normalized", "source")
+    free = rows.join(have.select("product_id").distinct(), "product_id", "left_anti").join(
+        have.select("value_normalized").distinct(), "value_normalized", "left_anti"
     )
+    # first one barcode per product, then one product per barcode
+    one = free.groupBy("product_id").agg(F.min_by(F.struct("value_normalized", "source"), F.struct("seq", "value_normalized")).alias("r"))
+    one = one.select("product_id", "r.*").groupBy("value_normalized").agg(F.min(F.struct("product_id", "source")).alias("r"))
+    return one.select("r.product_id", F.lit("gtin").alias("type"), "value_normalized", "r.source")
 
 
 # --- intake -----------------------------------------------------------------------------------
@@ -426,7 +427,7 @@ def intake(
     """
     checked = validate_requests(requests)
     good = checked.where(F.col("error").isNull())
-    resolved = resolve_products(good, products, identifiers_table, listings)
+    resolved = staged(resolve_products(good, products, identifiers_table, listings))
     described = build_identities(
         good.select("request_id", "title", "brand", "model", "variant", "category", "gtin", F.col("store"), "product_id")
     ).select(
@@ -434,6 +435,7 @@ def intake(
         F.col("category").alias("v_category"),
     )
     rows = good.drop("category").join(resolved.withColumnsRenamed({"product_id": "resolved_id", "listing_id": "known_listing"}), "request_id").join(described, "request_id")
+    rows = staged(rows)
     identity_key = F.coalesce(
         F.concat(F.lit("gtin|"), F.col("v_gtin")),
         F.when(F.col("v_brand").isNotNull() & F.col("model_key").isNotNull(), F.concat_ws("|", F.lit("model"), "v_brand", "model_key", F.coalesce("v_variant", F.lit("")))),

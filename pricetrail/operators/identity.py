@@ -12,6 +12,7 @@ from ..functions.patterns import among, compact, let, literal_list, rx, rx_all,
 from ..functions.text import fold_key
 from ..rules import catalog
 from ..schema import MONEY, STR_MAP
+from ..session import staged
 
 TEXT_COLUMNS = ("title", "brand", "model", "variant", "gtin", "sku", "store", "product_id", "currency", "category")
 EXTRA_KEYS = ("color", "storage", "size", "capacity", "ram", "vram", "edition", "network_lock")
@@ -103,6 +104,17 @@ def build_identities(items: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])
 
 
+def build_sides(refs: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Identities of references and candidates, built in one pass and staged once.
+
+    Both sides go through the same (large) projections, so they are planned and
+    run together and read back as two filtered scans.
+    """
+    both = refs.withColumn("side", F.lit("ref")).unionByName(cands.withColumn("side", F.lit("cand")), allowMissingColumns=True)
+    built = staged(build_identities(both))
+    return built.where("side = 'ref'").drop("side"), built.where("side = 'cand'").drop("side")
+
+
 def _with_variants(rows: DataFrame) -> DataFrame:
     """Gate attributes: variant text, specifications, metadata, then the title (first writer stays)."""
     variant = F.nullif(F.trim("variant"), F.lit(""))

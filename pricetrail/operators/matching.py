@@ -12,6 +12,7 @@ from ..functions.money import price_extreme
 from ..functions.vectors import cosine
 from ..rules import catalog
 from ..schema import CONFIDENCE, REASON, SCORE
+from ..session import staged
 from .identity import IDENTITY_COLUMNS, identity_struct
 
 # Decision thresholds and weights.
@@ -399,10 +400,12 @@ def block_report(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand
 def match(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id") -> DataFrame:
     """Score every candidate against the references it shares a key with.
 
-    References and candidates are identity rows. Equal candidates are scored
-    once and the result is joined back to each of them.
+    References and candidates are identity rows, best staged, as several steps
+    read them. Equal candidates are scored once and the result is joined back to
+    each of them.
     """
     unique, members = distinct_identities(cands, cand_id)
+    unique = staged(unique)
     pairs = candidate_pairs(refs, unique, ref_id, "identity_id")
     left = refs.select(F.col(ref_id), identity_struct().alias("ref"))
     right = unique.select("identity_id", identity_struct().alias("cand"))

@@ -88,7 +88,7 @@ def metric_slices(examples: DataFrame) -> DataFrame:
 
 def confusion(examples: DataFrame) -> DataFrame:
     """3x3 matrix: one row per label, one column per prediction."""
-    return examples.groupBy("label").pivot("prediction", list(LABELS)).agg(F.count("*")).na.fill(0)
+    return examples.groupBy("label").pivot("prediction", list(LABELS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, points: Sequen
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     return counted.groupBy(*keys).agg(
         F.sum("__n").alias("measured"),
-        *[F.percentile(value, p, "__n").alias(f"p{round(p * 100)}") for p in points],
+        *[F.percentile(value, p, F.col("__n")).alias(f"p{round(p * 100)}") for p in points],
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history, rates, resolution, watch, wording
+from . import history, rates, reporting, resolution, watch, wording
 
-MODULES = [history, watch, rates, wording, resolution]
+MODULES = [history, watch, rates, wording, resolution, reporting]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from ..functions.vectors import cosine
 from ..operators import attributes, catalog, identity, matching
 from ..schema import CONFIDENCE, MONEY, PAYLOAD, REASON
 from ..sequences import KeyedSequence
+from ..session import staged
 from .views import table
 
 QUERIES: dict = {}
@@ -89,16 +90,33 @@ scored AS (
 )"""
 
 
+_STAGED: dict = {}
+
+
+def once(name: str, spark: SparkSession, sf_dir: str, make):
+    """Staged tables are made once per session and read by every query that needs them."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        _STAGED[key] = make()
+    return _STAGED[key]
+
+
+def phone_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Identities of the canonical phones and of all offers."""
+    return once("sides", spark, sf_dir, lambda: identity.build_sides(
+        phone_products(spark, sf_dir).drop("n", "gb", "c"), phone_offers(spark, sf_dir).drop("n", "gb", "c", "kind")
+    ))
+
+
 def phone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = identity.build_identities(phone_offers(spark, sf_dir))
-    products = identity.build_identities(phone_products(spark, sf_dir).drop("n", "gb", "c"))
-    return matching.match(products, offers).select("ref_id", "cand_id", "score.*")
+    return once("scores", spark, sf_dir, lambda: staged(
+        matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*")
+    ))
 
 
 @query("er_candidates", "WITH " + PHONES_SQL + " SELECT ref_id, cand_id FROM scored")
 def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = identity.build_identities(phone_offers(spark, sf_dir))
-    products = identity.build_identities(phone_products(spark, sf_dir).drop("n", "gb", "c"))
+    products, offers = phone_sides(spark, sf_dir)
     return matching.candidate_pairs(products, offers)
 
 
@@ -147,8 +165,7 @@ def er_best_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT n, count(*) AS cands FROM ph GROUP BY n) JOIN (SELECT n, count(*) AS refs FROM ref GROUP BY n) USING (n)""",
 )
 def er_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = identity.build_identities(phone_offers(spark, sf_dir))
-    products = identity.build_identities(phone_products(spark, sf_dir).drop("n", "gb", "c"))
+    products, offers = phone_sides(spark, sf_dir)
     return matching.block_report(products, offers).select("kind", "key", "refs", "cands", "pairs")
 
 
@@ -158,8 +175,7 @@ def er_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN ref.gb <> ph.gb THEN 'storage_mismatch' END AS reason FROM ph JOIN ref ON ref.n = ph.n) GROUP BY reason""",
 )
 def title_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = identity.build_identities(phone_offers(spark, sf_dir))
-    products = identity.build_identities(phone_products(spark, sf_dir).drop("n", "gb", "c"))
+    products, offers = phone_sides(spark, sf_dir)
     pairs = matching.candidate_pairs(products, offers)
     sides = pairs.join(products.select("ref_id", identity.identity_struct().alias("ref")), "ref_id").join(
         offers.select("cand_id", identity.identity_struct().alias("cand")), "cand_id"
@@ -175,12 +191,12 @@ def title_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
       'variant_storage: ' || CAST(gb AS VARCHAR) || 'gb' AS text_structured FROM ph""",
 )
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.embedding_texts(identity.build_identities(phone_offers(spark, sf_dir))).select("cand_id", "text_structured")
+    return identity.embedding_texts(phone_sides(spark, sf_dir)[1]).select("cand_id", "text_structured")
 
 
 @query("search_queries")
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identity.build_identities(phone_products(spark, sf_dir).drop("n", "gb", "c"))
+    rows = phone_sides(spark, sf_dir)[0]
     asked = identity.search_queries(rows, ["pt-BR", "en-US", "es-PY"])
     return asked.select("ref_id", "locale", F.posexplode("queries").alias("position", "query"))
 
@@ -496,9 +512,12 @@ def resolve_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_intake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    phones, barcode, known = phone_tables(spark, sf_dir)
-    empty = spark.createDataFrame([], "listing_id string")
-    return catalog.intake(phone_requests(spark, sf_dir), phones, barcode, known, empty, now())
+    def make():
+        phones, barcode, known = phone_tables(spark, sf_dir)
+        empty = spark.createDataFrame([], "listing_id string")
+        return catalog.intake(phone_requests(spark, sf_dir), phones, barcode, known, empty, now())
+
+    return once("intake", spark, sf_dir, make)
 
 
 @query(

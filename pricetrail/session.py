@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,3 +64,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="pricetrail-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read to the shared folder, and read it back.
+
+    Used where recomputing is expensive or the plan would repeat a large piece.
+    The table lies in the checkpoint folder, so it survives lost executors, and
+    being columnar lets each step read only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
