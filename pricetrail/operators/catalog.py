@@ -282,23 +282,23 @@ def identity_matches(requests: DataFrame, products: DataFrame, identifiers_table
     refs, cands = build_sides(known, asked.withColumn("product_id", F.lit(None).cast("string")))
     cands = cands.where(F.col("brand").isNotNull() & F.col("model_key").isNotNull())
     right = cands.select(
-        F.col("request_id").alias("cand_id"), "viewer_id", "is_admin", F.col("store").alias("__store"), "country",
+        F.col("request_id").alias("cand_id"), "viewer_id", "is_admin", F.col("store").alias("in_store"), "country",
         F.col("brand").alias("__brand"), F.col("model_key").alias("__key"), identity_struct().alias("cand"),
     )
     left = refs.select("ref_id", "owner_user_id", "stored_brand", F.col("model_key").alias("__key"), identity_struct().alias("ref"))
     named = left.where(F.col("stored_brand").isNotNull()).join(right, (left["stored_brand"] == right["__brand"]) & (left["__key"] == right["__key"]))
     nameless = left.where(F.col("stored_brand").isNull()).join(right, left["__key"] == right["__key"])
-    columns = ["ref_id", "owner_user_id", "ref", "cand_id", "viewer_id", "is_admin", "__store", "country", "cand"]
+    columns = ["ref_id", "owner_user_id", "ref", "cand_id", "viewer_id", "is_admin", "in_store", "country", "cand"]
     pairs = named.select(columns).unionByName(nameless.select(columns))
     pairs = pairs.where(
         F.coalesce(F.col("is_admin"), F.lit(False)) | F.col("owner_user_id").isNull() | (F.col("owner_user_id") == F.col("viewer_id"))
     ).where(F.col("ref.brand").isNull() | (F.col("ref.brand") == F.col("cand.brand")))
     scored = matching.score_pairs(pairs)
-    stores = listing_stores(listings).select("ref_id", F.col("store").alias("__store"), "country", F.lit(True).alias("__same"))
-    scored = scored.join(stores, ["ref_id", "__store", "country"], "left")
+    stores = listing_stores(listings).select("ref_id", F.col("store").alias("in_store"), "country", F.lit(True).alias("same_listing"))
+    scored = scored.join(stores, ["ref_id", "in_store", "country"], "left")
     return matching.best_product(
         scored.select(
-            "cand_id", "ref_id", "score.decision", "score.confidence", F.coalesce("__same", F.lit(False)).alias("same_store")
+            "cand_id", "ref_id", "score.decision", "score.confidence", F.coalesce("same_listing", F.lit(False)).alias("same_store")
         )
     )
 

@@ -46,15 +46,6 @@ def _entry(key: str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
 
 
-def _entries(*pairs: Column) -> Column:
-    return F.filter(F.array(*pairs), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-
-
-def _set(attributes: Column, key: str, value: Column) -> Column:
-    """The map with ``key`` set to ``value``; a NULL value leaves the map as it is."""
-    return F.when(value.isNull(), attributes).otherwise(F.map_concat(attributes, F.create_map(F.lit(key), value)))
-
-
 def _get(attributes: str | Column, key: str) -> Column:
     source = F.col(attributes) if isinstance(attributes, str) else attributes
     return F.try_element_at(source, F.lit(key))
@@ -144,8 +135,12 @@ def _with_variants(rows: DataFrame) -> DataFrame:
             "__color": F.when(_get("__v", "color").isNull(), titles.color_in_title(F.col("__t"))),
             "__lock": F.when(_get("__v", "network_lock").isNull(), titles.network_lock(F.col("__t"))),
             "__chip": models.gpu_chip(F.col("__blob")),
-            "__edition": F.coalesce(
-                grammars.parse_as(F.col("title"), "gpu")["variant_key"], grammars.parse_as(F.col("__specs"), "gpu")["variant_key"]
+            # the title's line, else the one the specifications name
+            "__edition": F.get(
+                F.array_compact(
+                    F.transform(F.array("title", "__specs"), lambda t: grammars.parse_as(t, "gpu")["variant_key"])
+                ),
+                F.lit(0),
             ),
             "__given_edition": titles.variant_value("edition", given["edition"]),
         }
@@ -167,12 +162,17 @@ def _with_variants(rows: DataFrame) -> DataFrame:
     return rows.withColumn("variant_attrs", F.when(F.col("__chip").isNotNull(), card).otherwise(F.col("__v")))
 
 
-def _from_sheet(attribute: str) -> Column:
-    """First specification value that stands for the attribute, cleaned."""
+def _from_sheet(wanted: Sequence[str]) -> Column:
+    """First specification value that stands for each attribute, cleaned, as a map."""
     from .attributes import label_fits
 
-    found = F.filter("__sheet", lambda e: label_fits(attribute, e["label"], e["value"]))
-    return units.clean(F.lit(attribute), F.get(found, F.lit(0))["value"])
+    firsts = [
+        _entry(k, F.get(F.filter("__sheet", lambda e, k=k: label_fits(k, e["label"], e["value"])), F.lit(0))["value"]) for k in wanted
+    ]
+    cleaned = F.transform(
+        F.array(*firsts), lambda e: F.struct(e["key"].alias("key"), units.clean(e["key"], e["value"]).alias("value"))
+    )
+    return F.map_from_entries(F.filter(cleaned, lambda e: e["value"].isNotNull()))
 
 
 def _with_category(rows: DataFrame) -> DataFrame:
@@ -184,10 +184,9 @@ def _with_category(rows: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns({"__ta": F.when(special, by_title), "__special": special, "__sheet": sheet})
     wanted = ("cooler_type", "radiator_size", "fan_count", "wattage", "efficiency", "modularity", "form_factor", "fan_size", *MONITOR_SPECS)
-    rows = rows.withColumns(
-        {f"__a_{k}": F.when(F.col("__special"), F.coalesce(_from_sheet(k), _get("__ta", k))) for k in wanted}
-    )
-    value = lambda k: F.col(f"__a_{k}")
+    # a sheet's value comes before the title's
+    rows = rows.withColumn("__a", F.when(F.col("__special"), F.map_concat("__ta", _from_sheet(wanted))))
+    value = lambda k: _get("__a", k)
     watts = rx(fold_key(value("wattage")), r"\b(\d{3,4})\b", 1)
     watts = F.when(watts.cast("int") >= 300, F.concat(watts.cast("int").cast("string"), F.lit(" w")))
     cooler = title_attributes.to_map(
@@ -213,11 +212,11 @@ def _with_category(rows: DataFrame) -> DataFrame:
         {
             "category_attrs": F.when(F.col("__category") == "cooler", cooler).when(F.col("__category") == "psu", psu).otherwise(none),
             "variant_attrs": F.when(monitor, F.map_concat("variant_attrs", specs)).otherwise(F.col("variant_attrs")),
-            "__mt": F.when(monitor, grammars.parse_as(F.col("title"), "monitor")),
-            "__mm": F.when(monitor, grammars.parse_as(F.col("model"), "monitor")),
+            "__monitors": F.when(monitor, F.transform(F.array("title", "model"), lambda t: grammars.parse_as(t, "monitor"))),
             "__resolved": models.resolve_model(F.col("__raw_model"), F.col("__t")),
         }
     )
+    rows = rows.withColumns({"__mt": F.get("__monitors", F.lit(0)), "__mm": F.get("__monitors", F.lit(1))})
     exact = lambda c: F.col(f"{c}.confidence") == "exact_title"
     code = F.coalesce(F.when(exact("__mt"), F.col("__mt.model")), F.when(exact("__mm"), F.col("__mm.model")))
     may_replace = F.col("model").isNull() | F.coalesce(exact("__mm"), F.lit(False))
