@@ -293,7 +293,8 @@ def identity_matches(requests: DataFrame, products: DataFrame, identifiers_table
     pairs = pairs.where(
         F.coalesce(F.col("is_admin"), F.lit(False)) | F.col("owner_user_id").isNull() | (F.col("owner_user_id") == F.col("viewer_id"))
     ).where(F.col("ref.brand").isNull() | (F.col("ref.brand") == F.col("cand.brand")))
-    scored = matching.score_pairs(pairs)
+    # staged before any filter: pushing one into the decision rules would repeat them
+    scored = staged(matching.score_pairs(pairs).select("ref_id", "in_store", "country", "cand_id", "score"))
     stores = listing_stores(listings).select("ref_id", F.col("store").alias("in_store"), "country", F.lit(True).alias("same_listing"))
     scored = scored.join(stores, ["ref_id", "in_store", "country"], "left")
     return matching.best_product(

@@ -166,11 +166,12 @@ def _from_sheet(wanted: Sequence[str]) -> Column:
     """First specification value that stands for each attribute, cleaned, as a map."""
     from .attributes import label_fits
 
-    firsts = [
-        _entry(k, F.get(F.filter("__sheet", lambda e, k=k: label_fits(k, e["label"], e["value"])), F.lit(0))["value"]) for k in wanted
-    ]
+    def first(attribute: str) -> Column:
+        fitting = F.filter("__sheet", lambda e: label_fits(attribute, e["label"], e["value"]))
+        return _entry(attribute, F.get(fitting, F.lit(0))["value"])
+
     cleaned = F.transform(
-        F.array(*firsts), lambda e: F.struct(e["key"].alias("key"), units.clean(e["key"], e["value"]).alias("value"))
+        F.array(*[first(k) for k in wanted]), lambda e: F.struct(e["key"].alias("key"), units.clean(e["key"], e["value"]).alias("value"))
     )
     return F.map_from_entries(F.filter(cleaned, lambda e: e["value"].isNotNull()))
 

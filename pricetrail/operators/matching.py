@@ -409,7 +409,8 @@ def match(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: st
     pairs = candidate_pairs(refs, unique, ref_id, "identity_id")
     left = refs.select(F.col(ref_id), identity_struct().alias("ref"))
     right = unique.select("identity_id", identity_struct().alias("cand"))
-    scored = score_pairs(pairs.join(left, ref_id).join(right, "identity_id")).select(ref_id, "identity_id", "score")
+    # staged before any filter: pushing one into the decision rules would repeat them
+    scored = staged(score_pairs(pairs.join(left, ref_id).join(right, "identity_id")).select(ref_id, "identity_id", "score"))
     return scored.join(members, "identity_id").select(ref_id, cand_id, "score")
 
 

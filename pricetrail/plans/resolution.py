@@ -11,7 +11,6 @@ from ..functions.vectors import cosine
 from ..operators import attributes, catalog, identity, matching
 from ..schema import CONFIDENCE, MONEY, PAYLOAD, REASON
 from ..sequences import KeyedSequence
-from ..session import staged
 from .views import table
 
 QUERIES: dict = {}
@@ -109,9 +108,7 @@ def phone_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def phone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("scores", spark, sf_dir, lambda: staged(
-        matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*")
-    ))
+    return once("scores", spark, sf_dir, lambda: matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*"))
 
 
 @query("er_candidates", "WITH " + PHONES_SQL + " SELECT ref_id, cand_id FROM scored")
