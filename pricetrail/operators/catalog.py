@@ -429,11 +429,13 @@ def intake(
     checked = validate_requests(requests)
     good = checked.where(F.col("error").isNull())
     resolved = staged(resolve_products(good, products, identifiers_table, listings))
-    described = build_identities(
-        good.select("request_id", "title", "brand", "model", "variant", "category", "gtin", F.col("store"), "product_id")
-    ).select(
-        "request_id", F.col("gtin").alias("v_gtin"), F.col("brand").alias("v_brand"), "model_key", F.col("variant_key").alias("v_variant"),
-        F.col("category").alias("v_category"),
+    described = staged(
+        build_identities(
+            good.select("request_id", "title", "brand", "model", "variant", "category", "gtin", F.col("store"), "product_id")
+        ).select(
+            "request_id", F.col("gtin").alias("v_gtin"), F.col("brand").alias("v_brand"), "model_key",
+            F.col("variant_key").alias("v_variant"), F.col("category").alias("v_category"),
+        )
     )
     rows = good.drop("category").join(resolved.withColumnsRenamed({"product_id": "resolved_id", "listing_id": "known_listing"}), "request_id").join(described, "request_id")
     rows = staged(rows)
