@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import language, simhash, toxicity
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_language": language.op9_language,
 }
 
 ORACLES: dict[str, str] = {}
