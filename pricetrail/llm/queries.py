@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, simhash, toxicity
+from . import language, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
+    "op6_packing": packing.op6_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mixing": mixing.OP10_SQL,
+}
