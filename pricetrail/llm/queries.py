@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, simhash, toxicity
+from . import embedding_dedup, language, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op8_toxicity": toxicity.op8_toxicity,
