@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from pricetrail.session import checkpoint_dir, staged
 
-__all__ = ["WORD", "checkpointed", "forest", "held_out", "rows_of", "staged", "table", "text_bytes"]
+__all__ = ["WORD", "checkpointed", "forest", "held_out", "rows_of", "slices", "staged", "table", "text_bytes", "uniform"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+SLICE = 1 << 20  # bytes of a text that are split into words at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +60,19 @@ def forest(left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray,
             break
     item = np.flatnonzero(root != np.arange(size))
     return item, root[item]
+
+
+def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """The whole text in pieces that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def uniform(key: Column, seed: str) -> Column:
+    """A number over 0 and up to 1 that depends on the key and the seed alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("-"))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))

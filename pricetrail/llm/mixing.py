@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table
+from .common import WORD, staged, table, uniform
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 SHARE = 1.5  # of all words, what the mix takes
@@ -33,12 +33,6 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number over 0 and up to 1 that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-"))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
-
-
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Adds ``target`` to one row per source (``source_key``, ``source_size``).
 
@@ -98,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col).cast("string")).alias("source_key"), word_count(text).alias("size"),
-        (quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))).alias("weight"), uniform(F.col(id_col)).alias("uniform"), *extra,
+        (quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))).alias("weight"), uniform(F.col(id_col), SEED).alias("uniform"), *extra,
     )
     return taken(staged(rows)).drop("source_key", "weight", "uniform")
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -24,9 +24,7 @@ KNOWN_WORDS = 150_000  # words a task remembers at once
 READ_BYTES = 1 << 20  # text that is split into words at once
 SCHEMA = "id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
-#: White space that ends a token in any text, and words that are letters, then ASCII marks but no apostrophe:
-#: their two runs are tokenised on their own.
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Words that are letters, then ASCII marks but no apostrophe: their two runs are tokenised on their own.
 TWO_RUNS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
@@ -68,15 +66,7 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
     def __call__(self, text: bytes) -> bytes:
-        if len(text) <= READ_BYTES:
-            return self.part(text)
-        out, at = [], 0
-        while at < len(text):
-            cut = SPACE.search(text, at + READ_BYTES)
-            end = cut.start() if cut else len(text)
-            out.append(self.part(text[at:end]))
-            at = end
-        return b"".join(out)
+        return b"".join([self.part(piece) for piece in slices(text, READ_BYTES)])
 
 
 @dataclass

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, rows_of, staged, table, text_bytes
+from .common import held_out, rows_of, slices, staged, table, text_bytes
 
 POSITIVES = 3000  # confirmed toxic texts to learn from, about
 UNLABELLED = 6000  # other texts to learn from, about
@@ -53,7 +53,7 @@ class Reader:
         found: set[int] = set()
         if len(self.known) > CACHE:
             self.known.clear()
-        for word in set(WORDS.findall(text.decode(errors="replace").lower())):
+        for word in {w for part in slices(text) for w in WORDS.findall(part.decode(errors="replace").lower())}:
             features = self.known.get(word)
             if features is None:
                 features = word_features(word)
