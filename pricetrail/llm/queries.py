@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language, mixing, neighbours, packing, quality, simhash, toxicity
+from . import embedding_dedup, extraction, language, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
+    "op7_extraction": extraction.op7_extraction,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_mixing": mixing.op10_mixing,
