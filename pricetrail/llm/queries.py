@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, extraction, language, mixing, neighbours, packing, quality, simhash, toxicity
+from . import embedding_dedup, extraction, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_quality": quality.op2_quality,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_extraction": extraction.op7_extraction,
