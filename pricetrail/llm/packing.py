@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +23,24 @@ END = 2
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 POOL = 1024  # pieces a task chooses from at once
 EMPTY = float(1 << 60)
-KNOWN_WORDS = 150_000  # words a task remembers at once
+KNOWN_WORDS = 300_000  # words a task remembers at once
 READ_BYTES = 1 << 20  # text that is split into words at once
 SCHEMA = "id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
-#: Words that are letters, then ASCII marks but no apostrophe: their two runs are tokenised on their own.
-TWO_RUNS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Words of lower-case letters, then ASCII marks but no apostrophe: their two runs are tokens of their own in any text.
+TWO_RUNS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: How byte-level vocabularies write the bytes that are no visible character, in the order of the bytes (fixed values).
+HIDDEN_BYTES = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_LETTERS = {byte: chr(0x100 + k) for k, byte in enumerate(HIDDEN_BYTES)}
 
 
-class Encoder:
+class Encoder(dict):
     """Token ids of whole texts by a tokenizer that lower-cases and never joins over ASCII white space.
 
     Gives the ids that the tokenizer gives for the text, special-token strings taken as
-    ordinary text. Words, and the letters of a word, are looked up before they are encoded.
+    ordinary text. Remembers the ids of words, as little-endian unsigned 32-bit numbers;
+    the letters of a new word go straight to the tokenizer's model, which is much quicker
+    than the way through normalising and splitting that any other word takes.
     """
 
     def __init__(self, path: str):
@@ -40,33 +48,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        split = {}
-        for word in words:
-            m = TWO_RUNS(word)
-            split[word] = (word,) if m is None or not m[2] else (m[1], m[2])
-        new = [r for r in {r for runs in split.values() for r in runs} if r not in self.runs]
-        for run, found in zip(new, self.tokenizer.encode_batch([r.decode(errors="replace") for r in new], add_special_tokens=False), strict=True):
-            self.runs[run] = np.array(found.ids, "<u4").tobytes()
-        for word, runs in split.items():
-            self.words[word] = b"".join([self.runs[r] for r in runs])
-
-    def part(self, text: bytes) -> bytes:
-        words = text.lower().split()  # of bytes: only A-Z change, only ASCII white space splits
-        distinct = set(words)
-        new = distinct - self.words.keys()
-        if len(self.words) + len(new) > KNOWN_WORDS:
-            self.words, self.runs, new = {}, {}, distinct
-        if new:
-            self.learn(new)
-        known = self.words
-        return b"".join([known[w] for w in words])
-
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join([self.part(piece) for piece in slices(text, READ_BYTES)])
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks: dict[bytes, bytes] = {b"": b""}
+
+    def slowly(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        runs = TWO_RUNS(word)
+        if runs is None:
+            found = self.slowly(word)
+        else:
+            letters, marks = runs.groups()
+            if marks not in self.marks:
+                self.marks[marks] = self.slowly(marks)
+            ids = [t.id for t in self.tokenize(letters.decode("latin-1").translate(BYTE_LETTERS))]
+            found = struct.pack(f"<{len(ids)}I", *ids) + self.marks[marks]
+        self[word] = found
+        return found
+
+    def ids(self, text: bytes) -> bytes:
+        out = []
+        for part in slices(text, READ_BYTES):
+            if len(self) > KNOWN_WORDS:
+                self.clear()
+                self.marks = {b"": b""}
+            out.extend(map(self.__getitem__, part.lower().split()))  # of bytes: only A-Z change, only ASCII white space splits
+        return b"".join(out)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that words are learnt once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+    return Encoder(path)
 
 
 @dataclass
@@ -180,7 +195,7 @@ def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segm
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(tokens, segments, loss, pool)
+        read, packer = encoder(path).ids, Packer(tokens, segments, loss, pool)
         number = TaskContext.get().partitionId() << 40
 
         def rows(sequences: Iterator[list[Piece]]) -> Iterator[tuple]:
@@ -201,7 +216,7 @@ def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segm
         for batch in batches:
             for k in range(batch.num_rows):
                 texts, marks = batch.column("texts")[k].as_py() or [], batch.column("loss")[k].as_py() or []
-                ids = [np.frombuffer(encoder(t or b""), "<u4") for t in texts]
+                ids = [np.frombuffer(read(t or b""), "<u4") for t in texts]
                 ids.append(np.array([end], "<u4"))
                 marks = [bool(m) for m in marks] or [True]
                 marks.append(marks[-1])
