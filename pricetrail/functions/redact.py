@@ -24,8 +24,8 @@ def mapping(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEYS), MASK).otherwise(text(v)))
 
 
-def error_message(message: Column, most: int = 400) -> Column:
-    """One line of bounded length; a message that names a secret is withheld."""
+def error_message(message: Column) -> Column:
+    """One line; a message that names a secret is withheld."""
     line = F.trim(F.regexp_replace(message, r"\s+", " "))
     withheld = "Erro sanitizado (detalhe omitido por segurança)."
-    return F.when(line == "", F.lit(None).cast("string")).when(line.rlike(SECRET_KEYS), withheld).otherwise(F.left(line, F.lit(most)))
+    return F.when(line == "", F.lit(None).cast("string")).when(line.rlike(SECRET_KEYS), withheld).otherwise(line)

@@ -18,7 +18,6 @@ from .feed import visible
 from .identity import build_identities, build_sides, identity_struct
 from .monitoring import initial_schedule, promotion_in_force
 
-TITLE_CHARS = 512
 
 
 # --- offers and details -----------------------------------------------------------------------
@@ -161,8 +160,10 @@ def search_products(
 ) -> DataFrame:
     """Products that meet every given filter, newest first, at most ``limit`` (1..100).
 
-    All filters run before the limit, so a match is never missed.
+    All filters run before the limit, so a match is never missed; a limit outside its bounds is an error.
     """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100")
     wanted = {k: v.strip() for k, v in (attributes or {}).items() if v and v.strip()}
     if not any((brand, model, variant, category, wanted)):
         raise ValueError("a search needs at least one filter")
@@ -185,7 +186,7 @@ def search_products(
     for key, value in wanted.items():
         name = F.lit(key.lower())
         rows = rows.where(F.lower(units.normalise(name, attr(key.lower()))) == F.lower(units.normalise(name, F.lit(value))))
-    return rows.orderBy(F.desc("updated_at"), "id").limit(max(1, min(limit, 100)))
+    return rows.orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
 def product_page(products: DataFrame, viewer: str, limit: int, offset: int = 0, is_admin: bool = False) -> DataFrame:
@@ -339,7 +340,7 @@ def upsert_products(products: DataFrame, identifiers_table: DataFrame, incoming:
     touched = F.col("n_title").isNotNull()
     merged = old.join(new, "id", "full").withColumns(
         {
-            "title": F.coalesce(F.left("n_title", F.lit(TITLE_CHARS)), "title"),
+            "title": F.coalesce("n_title", "title"),
             "brand": F.coalesce("n_brand", "brand"),
             "model": F.coalesce("n_model", "model"),
             "variant_key": F.coalesce("n_variant_key", "variant_key"),
@@ -372,7 +373,7 @@ def upsert_listings(listings: DataFrame, incoming: DataFrame, now: Column) -> Da
     out = {c: F.when(change, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("canonical_product_id", "product_id", "gtin", "url", "canonical_url", "confidence", "status", "store", "country")}
     out["match_decision"] = F.when(change, F.col("n_decision")).otherwise(F.col("match_decision"))
     out["sku"] = F.when(change, F.coalesce(blank_to_null(F.col("n_sku")), F.col("sku"))).otherwise(F.col("sku"))
-    out["title"] = F.when(change, F.coalesce(F.left(blank_to_null(F.col("n_title")), F.lit(TITLE_CHARS)), F.col("title"))).otherwise(F.col("title"))
+    out["title"] = F.when(change, F.coalesce(blank_to_null(F.col("n_title")), F.col("title"))).otherwise(F.col("title"))
     kept = joined.withColumns({"__changed": change, **out}).withColumn("updated_at", F.when(F.col("__changed"), now).otherwise(F.col("updated_at") if "updated_at" in listings.columns else F.lit(None).cast("timestamp")))
     return kept.select(*listings.columns)
 
@@ -460,7 +461,7 @@ def intake(
     created = new_rows(
         products.select(F.col("id").cast("string").alias("id")),
         rows.where(new).select(
-            F.col("target_id").alias("id"), F.col("owner_user_id"), F.left("title", F.lit(TITLE_CHARS)).alias("title"), "brand", "model",
+            F.col("target_id").alias("id"), F.col("owner_user_id"), "title", "brand", "model",
             F.col("v_variant").alias("variant_key"), F.col("v_category").alias("category"), "request_id",
         ),
         ["id"], "request_id",
@@ -468,7 +469,7 @@ def intake(
     listing_rows = rows.where(attach & (F.col("kind") != "existing_listing")).select(
         F.col("new_listing_id").alias("id"), F.col("target_id").alias("canonical_product_id"), "store", "country", "product_id",
         blank_to_null(F.col("sku")).alias("sku"), F.col("v_gtin").alias("gtin"), F.coalesce("url", "link").alias("url"), F.col("link").alias("canonical_url"),
-        F.left("title", F.lit(TITLE_CHARS)).alias("title"), F.lit("auto_match").alias("match_decision"), F.lit(1).cast(CONFIDENCE).alias("confidence"),
+        "title", F.lit("auto_match").alias("match_decision"), F.lit(1).cast(CONFIDENCE).alias("confidence"),
         F.lit("active").alias("status"), "request_id",
     )
     new_listings = new_rows(listings.select(F.col("id").cast("string").alias("id")), listing_rows, ["id"], "request_id")

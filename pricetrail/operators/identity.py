@@ -420,7 +420,7 @@ def search_queries(rows: DataFrame, locales: Sequence[str]) -> DataFrame:
     brand, short, hue = F.col("brand"), F.col("__short"), F.col("__hue")
     row = lambda *parts: F.nullif(F.concat_ws(" ", *parts), F.lit(""))
     need = lambda first, *rest_: F.when(first.isNotNull(), row(first, *rest_))
-    codes = F.transform(F.slice("mpns", 1, 3), lambda m: m)
+    codes = F.col("mpns")
     gpu_type = _get("variant_attrs", "memory_type")
     by_category = (
         F.when(
@@ -456,15 +456,14 @@ def search_queries(rows: DataFrame, locales: Sequence[str]) -> DataFrame:
         )
         .otherwise(F.array(F.col("mpn_display"), row(brand, short), short, need(short, hue), need(short, storage)))
     )
-    window = F.array_join(F.slice(F.split(F.col("title_normalized"), " "), 1, 8), " ")
-    ladder = F.concat(F.array(F.col("__phrase"), F.col("gtin")), by_category, codes, F.array(window))
+    ladder = F.concat(F.array(F.col("__phrase"), F.col("gtin")), by_category, codes, F.array(F.col("title_normalized")))
     clean = F.transform(F.array_compact(ladder), lambda q: squash(F.lower(q)))
     distinct = F.array_distinct(F.filter(clean, lambda q: q != ""))
     return staged.withColumn("queries", distinct).drop(*[c for c in staged.columns if c.startswith("__")])
 
 
 def _title_phrase(folded: Column) -> Column:
-    """The title as a search phrase: no part numbers, bus widths, units or shop words; 16 words."""
+    """The title as a search phrase: no part numbers, bus widths, units or shop words."""
     codes = identifiers.part_number_matches(folded)
     text = F.aggregate(codes, folded, lambda acc, m: F.replace(acc, m, F.lit(" ")))
     for pattern in (
@@ -477,6 +476,6 @@ def _title_phrase(folded: Column) -> Column:
         F.split(F.trim(text), r"\s+"),
         lambda w: (w != "") & ~among(w, catalog.SEARCH_NOISE) & ~w.rlike(r"^\d+-?(?:core|threads?)$"),
     )
-    return F.nullif(F.array_join(F.slice(F.array_distinct(words), 1, 16), " "), F.lit(""))
+    return F.nullif(F.array_join(F.array_distinct(words), " "), F.lit(""))
 
 

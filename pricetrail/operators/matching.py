@@ -508,26 +508,22 @@ def promote(score: Column, similarity: Column, threshold: float, prices_apart: C
 
 
 def semantic_evidence(
-    scored: DataFrame, vectors: DataFrame, threshold: float | None, active: bool = True, per_run: int = 12
+    scored: DataFrame, vectors: DataFrame, threshold: float | None, active: bool = True
 ) -> DataFrame:
     """Compare the texts of unclear pairs and promote close ones.
 
     ``scored``: run_id, seq, ref_text_key, cand_text_key, prices_apart, score.
-    ``vectors``: text_key, vector. Only pairs that need it are compared, at most
-    ``per_run`` of a run in its order, which is the operator's call budget.
+    ``vectors``: text_key, vector. All pairs that need it are compared.
     """
     asked = scored.where(needs_semantics(F.col("score")))
-    order = Window.partitionBy("run_id").orderBy("seq")
-    asked = asked.withColumn("__n", F.row_number().over(order))
     side = lambda name: vectors.select(F.col("text_key").alias(f"{name}_text_key"), F.col("vector").alias(f"__{name}"))
-    within = asked.where(F.col("__n") <= per_run).join(side("ref"), "ref_text_key", "left").join(side("cand"), "cand_text_key", "left")
+    within = asked.join(side("ref"), "ref_text_key", "left").join(side("cand"), "cand_text_key", "left")
     compared = within.withColumn("similarity", F.round(cosine(F.col("__ref"), F.col("__cand")), 6)).withColumn(
         "evidence_status", F.when(F.col("similarity").isNotNull(), "ok").otherwise("skipped_empty")
     )
     if active and threshold is not None:
         compared = compared.withColumn("score", promote(F.col("score"), F.col("similarity"), threshold, F.col("prices_apart")))
     rest = scored.where(~F.coalesce(needs_semantics(F.col("score")), F.lit(False))).withColumn("evidence_status", F.lit(None).cast("string"))
-    over = asked.where(F.col("__n") > per_run).withColumn("evidence_status", F.lit("skipped_limit"))
     empty = lambda df: df.withColumn("similarity", F.lit(None).cast("double"))
     columns = [*scored.columns, "similarity", "evidence_status"]
-    return compared.select(columns).unionByName(empty(over).select(columns)).unionByName(empty(rest).select(columns))
+    return compared.select(columns).unionByName(empty(rest).select(columns))

@@ -115,24 +115,23 @@ def work_class(now: Column) -> Column:
 
 
 def work_list(
-    listings: DataFrame, now: Column, limit: int, worker: str = "batch", cadence: Cadence = DEFAULT
+    listings: DataFrame, now: Column, limit: int | None, worker: str = "batch", cadence: Cadence = DEFAULT
 ) -> DataFrame:
-    """The next ``limit`` due listings with lease columns; a top-k, no global sort."""
+    """The next ``limit`` due listings with lease columns, by a top-k without a global sort; without a limit all, in no order."""
     late = F.coalesce(F.greatest(F.lit(0).cast("long"), seconds_between(F.col("next_check_at"), now)), F.lit(0).cast("long"))
-    return (
-        listings.where(due(now))
-        .withColumn("work_class", work_class(now))
-        .orderBy("work_class", F.asc_nulls_last("next_check_at"), "listing_id")
-        .limit(max(1, limit))
-        .withColumns(
-            {
-                "check_worker_id": F.lit(worker),
-                "check_claimed_at": now,
-                "check_claim_expires_at": plus_seconds(now, max(30, cadence.lease)),
-                "scheduled_for": F.col("next_check_at"),
-                "delay_seconds": late,
-            }
-        )
+    rows = listings.where(due(now)).withColumn("work_class", work_class(now))
+    if limit is not None:
+        if limit < 1:
+            raise ValueError("limit must be 1 or more")
+        rows = rows.orderBy("work_class", F.asc_nulls_last("next_check_at"), "listing_id").limit(limit)
+    return rows.withColumns(
+        {
+            "check_worker_id": F.lit(worker),
+            "check_claimed_at": now,
+            "check_claim_expires_at": plus_seconds(now, max(30, cadence.lease)),
+            "scheduled_for": F.col("next_check_at"),
+            "delay_seconds": late,
+        }
     )
 
 
@@ -563,7 +562,7 @@ def budget_use(
 SEARCH_BUDGETS = {"queries": 5, "external": 12, "navigations": 8}
 
 
-def sweep(listings: DataFrame, pauses: DataFrame, now: Column, limit: int, cadence: Cadence = DEFAULT) -> DataFrame:
+def sweep(listings: DataFrame, pauses: DataFrame, now: Column, limit: int | None = None, cadence: Cadence = DEFAULT) -> DataFrame:
     """One periodic pass: due work, lapsed promotions, paused stores deferred, the rest to refresh.
 
     ``pauses`` is (host, paused_until), one row per host.

@@ -37,25 +37,26 @@ def page_title(html: Column) -> Column:
 
 
 def _facts(pages: DataFrame) -> DataFrame:
-    """Lower-case text, title, link and size, computed once per page."""
+    """Lower-case text, title and link, computed once per page."""
     return pages.withColumns(
         {
             "__low": F.lower("html"),
             "__title": F.lower(F.coalesce(page_title(F.col("html")), F.lit(""))),
             "__url": F.lower("url"),
-            "__size": F.length("html"),
             "__path": F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)),
         }
     )
 
 
 def _challenge_parts() -> dict[str, Column]:
-    low, title, url, size = F.col("__low"), F.col("__title"), F.col("__url"), F.col("__size")
+    low, title, url = F.col("__low"), F.col("__title"), F.col("__url")
     product = low.contains('id="producttitle"') | low.contains('name="asin"')
+    # a page that shows products or results is no check or error page, whatever markers its scripts hold
+    genuine = product | low.rlike("s-search-result|itemprop=[\"']price[\"']|ui-pdp-price|ui-search-layout")
     hay = F.concat(title, F.lit("\n"), low)
-    sensor = has_any(low, rules.SENSOR_STRUCTURE) | ((size < rules.SENSOR_LOOSE_MAX_CHARS) & has_any(low, rules.SENSOR_LOOSE))
+    sensor = has_any(low, rules.SENSOR_STRUCTURE) | (has_any(low, rules.SENSOR_LOOSE) & ~genuine)
     robot = has_any(hay, rules.ROBOT_CHECK) | (
-        hay.contains("amazon") & hay.contains("captcha") & (size < rules.SMALL_PAGE_CHARS) & ~product
+        hay.contains("amazon") & hay.contains("captcha") & ~genuine
     )
     work = (
         (low.contains("verifychallenge") & low.contains("continue-button"))
@@ -66,12 +67,10 @@ def _challenge_parts() -> dict[str, Column]:
     denied = low.contains("akamai-bot") & low.rlike("não é possível acessar|nao e possivel acessar")
     js = (
         has_any(title, rules.JS_CHECK_TITLES)
-        | (low.contains("performing security verification") & (size < 80_000))
-        | (low.rlike("cf-challenge|challenge-platform") & (size < 40_000))
-    )
-    soft = (size < rules.SMALL_PAGE_CHARS) & has_any(hay, rules.SOFT_ERROR) & ~(
-        (low.contains("data-asin=") & low.contains("s-search-result")) | low.contains('id="producttitle"')
+        | (low.contains("performing security verification") & ~genuine)
+        | (low.rlike("cf-challenge|challenge-platform") & ~genuine)
     )
+    soft = has_any(hay, rules.SOFT_ERROR) & ~genuine
     amazon = url.contains("amazon.") | low.contains("amazon.")
     signin = url.contains("ap/signin") | low.contains("/ap/signin") | (
         amazon & title.rlike("sign in|sign-in|fazer login|iniciar sessão|iniciar sesion") & ~product
@@ -185,7 +184,7 @@ def page_kinds(labelled: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     price = low.rlike(PRICE_IN_LD) & low.contains("product") | low.rlike("""itemprop=["']price["'][^>]*content=["'][^"']*\\d""") | low.rlike(
-        r"""(?s)id=["'](?:coreprice|buybox|desktop_buybox|apex_desktop)[^>]*>.{0,4000}?a-offscreen["']>[^<]*\d"""
+        r"""(?s)id=["'](?:coreprice|buybox|desktop_buybox|apex_desktop)[^>]*>.*?a-offscreen["']>[^<]*\d"""
     )
     stock = rx(html, r"""(?is)id=["'](?:availability|outOfStock|availability_feature_div)["'][^>]*>(.*?)</div>""", 1)
     sold_out = has_any(F.lower(plain_text(F.coalesce(stock, F.lit("")))), rules.SOLD_OUT)

@@ -18,7 +18,6 @@ TERMINAL = (
 ERRORS = ("error", "refresh_failed")
 MAX_ATTEMPTS = 3
 LEASE_SECONDS = 600
-CANDIDATES_PER_STORE = 40
 STALL_SECONDS = 600
 WORKER_LOST = "worker_lost"
 WORKER_LOST_MESSAGE = "A busca foi interrompida (worker perdido ou lease expirada). Inicie uma nova busca."
@@ -236,9 +235,10 @@ def newest_per(rows: DataFrame, key: str, at: str, id_column: str, limit: int, o
 
 
 def candidate_log(candidates: DataFrame) -> DataFrame:
-    """Candidate evidence to append: the first 40 of each store run, numbered from one."""
-    order = Window.partitionBy("run_id", "store").orderBy("seq")
-    return candidates.withColumn("sequence", F.row_number().over(order)).where(F.col("sequence") <= CANDIDATES_PER_STORE)
+    """Candidate evidence to append: all of each store run, numbered from one by ``seq``, which is unique there."""
+    from ..sequences import KeyedSequence
+
+    return KeyedSequence(candidates, ["run_id", "store"], ["seq"]).running({"sequence": F.lit(1)}).result()
 
 
 def live_view(runs: DataFrame, store_runs: DataFrame, products: DataFrame, now: Column) -> DataFrame:
@@ -257,7 +257,7 @@ def live_view(runs: DataFrame, store_runs: DataFrame, products: DataFrame, now:
 
 
 def with_candidates(store_runs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Store runs with their candidate log nested, at most 40 each (``candidate_log``)."""
+    """Store runs with their candidate log nested (``candidate_log``)."""
     logged = candidate_log(candidates)
     nested = logged.groupBy("run_id", "store").agg(
         F.array_sort(F.collect_list(F.struct("sequence", "title", "decision", "confidence"))).alias("candidates")

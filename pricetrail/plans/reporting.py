@@ -449,7 +449,7 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_class",
     """SELECT label, challenge, count(*) AS pages FROM (SELECT CASE page_id % 7 WHEN 1 THEN 'hard_block' WHEN 2 THEN 'challenge' WHEN 3 THEN 'challenge'
-        WHEN 4 THEN CASE WHEN length(html) + 22 < 80000 THEN 'soft_error' ELSE 'valid' END WHEN 5 THEN 'auth_wall' ELSE 'valid' END AS label,
+        WHEN 4 THEN 'soft_error' WHEN 5 THEN 'auth_wall' ELSE 'valid' END AS label,
       CASE page_id % 7 WHEN 1 THEN 'hard_block' WHEN 2 THEN 'akamai_sec_cpt' WHEN 3 THEN 'amazon_image_captcha' WHEN 5 THEN 'auth_wall' END AS challenge FROM pages) GROUP BY ALL""",
 )
 def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +459,7 @@ def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_hosts",
     """SELECT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, CASE page_id % 7 WHEN 1 THEN 'hard_block' WHEN 2 THEN 'challenge' WHEN 3 THEN 'challenge'
-        WHEN 4 THEN CASE WHEN length(html) + 22 < 80000 THEN 'soft_error' ELSE 'valid' END WHEN 5 THEN 'auth_wall' ELSE 'valid' END AS label, count(*) AS pages FROM pages GROUP BY 1, 2""",
+        WHEN 4 THEN 'soft_error' WHEN 5 THEN 'auth_wall' ELSE 'valid' END AS label, count(*) AS pages FROM pages GROUP BY 1, 2""",
 )
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.label_report(pages.label_pages(marked_pages(spark, sf_dir)))
@@ -508,8 +508,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(base, key.cast("string")).alias("url"), F.concat("html", mark).alias("html"))
     flags = pages.page_kinds(pages.label_pages(rows))
-    product = F.when(key % 3 == 2, F.lit(False)).otherwise(F.col("is_product"))
-    return flags.groupBy((key % 3).alias("store"), product.alias("is_product"), "is_results", "has_price").agg(F.count("*").alias("pages"))
+    return flags.groupBy((key % 3).alias("store"), "is_product", "is_results", "has_price").agg(F.count("*").alias("pages"))
 
 
 @query(

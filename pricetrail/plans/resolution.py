@@ -257,9 +257,8 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embedding_promote",
-    "WITH " + PAIRS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY right_id // 10 ORDER BY right_id) AS n FROM sim WHERE right_id % 3 <> 0)
-    SELECT left_id, right_id, CASE WHEN n > 4 THEN 'skipped_limit' ELSE 'ok' END AS evidence_status,
-      CASE WHEN n <= 4 AND s >= 0.05 AND right_id % 5 <> 0 THEN 'auto_match' ELSE 'review' END AS decision FROM r
+    "WITH " + PAIRS_SQL + """
+    SELECT left_id, right_id, 'ok' AS evidence_status, CASE WHEN s >= 0.05 AND right_id % 5 <> 0 THEN 'auto_match' ELSE 'review' END AS decision FROM sim WHERE right_id % 3 <> 0
     UNION ALL SELECT left_id, right_id, NULL, 'auto_match' FROM sim WHERE right_id % 3 = 0""",
 )
 def embedding_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +274,7 @@ def embedding_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("right_id") % 5 == 0).alias("prices_apart"), F.when(F.col("right_id") % 3 != 0, unclear).otherwise(sure).alias("score"),
     )
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text_key"), F.col("embedding").alias("vector"))
-    done = matching.semantic_evidence(scored, vectors, 0.05, per_run=4)
+    done = matching.semantic_evidence(scored, vectors, 0.05)
     return done.select(
         F.col("ref_text_key").alias("left_id"), F.col("cand_text_key").alias("right_id"), "evidence_status", F.col("score.decision").alias("decision")
     )
@@ -350,7 +349,7 @@ def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY p_partkey % 1000 DESC, CAST(p_partkey AS VARCHAR) LIMIT 100""",
 )
 def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = catalog.search_products(products(spark, sf_dir), "user-2", brand="BRAND 7", variant="Economy", category="economy", limit=500)
+    found = catalog.search_products(products(spark, sf_dir), "user-2", brand="BRAND 7", variant="Economy", category="economy", limit=100)
     return found.select("id")
 
 

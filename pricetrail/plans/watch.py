@@ -406,5 +406,5 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     pauses = listings.select("host").distinct().where(F.col("host").isin("host-1", "host-5")).withColumn(
         "paused_until", monitoring.plus_seconds(now(), 300)
     )
-    swept = monitoring.sweep(listings, pauses, now(), 2**31 - 2)
+    swept = monitoring.sweep(listings, pauses, now())
     return swept.groupBy("store", "action").agg(F.count("*").alias("listings"))

@@ -251,14 +251,23 @@ def title_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
         {'a': 'refresh_rate', 'v': CASE WHEN k = 6 THEN CASE WHEN n % 2 = 0 THEN '240 Hz' ELSE '144 Hz' END END},
         {'a': 'screen_size', 'v': CASE WHEN k = 6 THEN '27"' END},
         {'a': 'switch_type', 'v': CASE WHEN k = 7 THEN 'Red Switch' END},
-        {'a': 'layout', 'v': CASE WHEN k = 7 THEN 'ABNT2' END}], lambda x: x.v IS NOT NULL)) AS x FROM tc)
+        {'a': 'layout', 'v': CASE WHEN k = 7 THEN 'ABNT2' END},
+        {'a': 'brand', 'v': (['Msi', 'Apple', 'Dell', 'Amd', 'Samsung', 'Corsair', 'Lg', 'Redragon'])[CAST(k AS INTEGER) + 1]},
+        {'a': 'model', 'v': CASE k WHEN 0 THEN 'GeForce Rtx 50' || chip || CASE WHEN n % 2 = 0 THEN ' Ti Ventus' ELSE ' Ventus 2X' END
+          WHEN 1 THEN 'iPhone 1' || CAST(n % 3 + 4 AS VARCHAR) || ' Pro' WHEN 2 THEN 'Inspiron Intel Core i5-1235U' WHEN 3 THEN 'Ryzen 7 ' || CASE WHEN n % 2 = 0 THEN '5700X AM5' ELSE '7700X AM5' END
+          WHEN 4 THEN '990 Evo Plus' WHEN 5 THEN 'RM' || watts WHEN 6 THEN 'UltraGear 27GS95QE' ELSE 'Kumara' END},
+        {'a': 'gpu_model', 'v': CASE WHEN k = 0 THEN 'GeForce RTX 50' || chip || CASE WHEN n % 2 = 0 THEN ' Ti' ELSE '' END END},
+        {'a': 'processor', 'v': CASE k WHEN 2 THEN 'Intel Core i5-1235U' WHEN 3 THEN 'AMD Ryzen 7 ' || CASE WHEN n % 2 = 0 THEN '5700X' ELSE '7700X' END END},
+        {'a': 'color', 'v': CASE k WHEN 1 THEN 'Preto' WHEN 7 THEN 'Red' END},
+        {'a': 'modularity', 'v': CASE WHEN k = 5 THEN 'Full Modular' END},
+        {'a': 'interface', 'v': CASE WHEN k = 4 THEN 'NVMe' END},
+        {'a': 'capacity', 'v': CASE WHEN k = 4 THEN CASE WHEN n % 2 = 0 THEN '1 TB' ELSE '2 TB' END END}], lambda x: x.v IS NOT NULL)) AS x FROM tc)
     SELECT x.a AS attribute, x.v AS value, count(*) AS products FROM a GROUP BY ALL""",
 )
 def title_attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = ("vram", "memory_type", "storage", "ram", "socket", "wattage", "efficiency", "refresh_rate", "screen_size", "switch_type", "layout")
     rows = catalog_titles(spark, sf_dir).withColumn("category", title_attributes.category_of(F.col("title")))
     found = rows.select(F.explode(title_attributes.title_attributes(F.col("title"), F.col("category"))).alias("attribute", "value"))
-    return found.where(F.col("attribute").isin(*wanted)).groupBy("attribute", "value").agg(F.count("*").alias("products"))
+    return found.groupBy("attribute", "value").agg(F.count("*").alias("products"))
 
 
 @query(

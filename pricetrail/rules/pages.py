@@ -8,13 +8,11 @@ SENSOR_STRUCTURE = (
     'id="sec-bc-tile-parent"', "id='sec-bc-tile-parent'",
 )
 SENSOR_LOOSE = ("sec-if-cpt-container", "behavioral-content", "scf-akamai-logo", "sec-bc-text-container")
-SENSOR_LOOSE_MAX_CHARS = 40_000
 ROBOT_CHECK = (
     "validatecaptcha", "opfcaptcha", "robot check", "type the characters you see", "enter the characters you see",
     "sorry, we just need to make sure you're not a robot", "clique na caixa para confirmar", "não sou um robô",
     "nao sou um robo", "to discuss automated access to amazon data",
 )
-SMALL_PAGE_CHARS = 80_000
 SOFT_ERROR = (
     "algo deu errado", "something went wrong on our end", "dogs of amazon", "cachorros da amazon", "/error/500-title",
     "/images/g/32/error/", "/images/g/01/error/", "error/logo._ttd_.png",
@@ -38,7 +36,7 @@ SUBSCRIBE = {"BR": ("assine e economize", "subscribe & save"), "US": ("subscribe
 PRIME = ("prime",)
 PIX = ("no pix", "via pix", "com pix")
 # payment wording, Brazil
-CASH_DISCOUNT = r"(?i)(\d{1,2}(?:[.,]\d{1,2})?)\s*%\s*off\s*(?:à|a)\s*vista(?:\s+(?:no|na|com|via))?\s*([a-zçãáéíóúô ]{0,40})"
+CASH_DISCOUNT = r"(?i)(\d{1,2}(?:[.,]\d{1,2})?)\s*%\s*off\s*(?:à|a)\s*vista(?:\s+(?:no|na|com|via))?\s*([a-zçãáéíóúô ]*)"
 INSTALMENT_TOTAL = r"(?i)total\s+parcelado\s*(?:de\s*)?R\$\s*([\d.]+,\d{2})"
 INTEREST_FREE = r"(?i)\d+\s*x\s*de\s*R\$\s*[\d.]+,\d{2}\s*sem\s+juros"
 COUPON_VALUE = r"(?i)(?:apply|aplicar)?\s*(?:R\$\s*)?([\d.,]+)\s*(?:coupon|cupom)"
