@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The letters folded and what they become. Text outside this
-# alphabet keeps its marks.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+# Letters of the Latin blocks that decompose into a plain letter and marks, and
+# the marks themselves, which go wherever they stand.
+_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+_BASE = {c: unicodedata.normalize("NFD", c)[0] for c in _LATIN if unicodedata.normalize("NFD", c)[0].isascii() and unicodedata.decomposition(c)}
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+ACCENTED = "".join(_BASE)
+PLAIN = "".join(_BASE.values())
 MAX_TERMS = 8
 MAX_QUERY_CHARS = 200
-_PY_FOLD = str.maketrans(ACCENTED + ACCENTED.upper(), PLAIN + PLAIN)
+_PY_FOLD = str.maketrans(ACCENTED, PLAIN, MARKS)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin accents; NULL becomes the empty string."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED + ACCENTED.upper(), PLAIN + PLAIN))
+    """Lower case without accents and other marks; NULL becomes the empty string."""
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED + MARKS, PLAIN))
 
 
 def fold_key(text: Column) -> Column:
     """``fold`` and trim; NULL stays NULL."""
-    return F.trim(F.lower(F.translate(text, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN)))
+    return F.trim(F.lower(F.translate(text, ACCENTED + MARKS, PLAIN)))
 
 
 def search_terms(query: str | None) -> list[str]:

@@ -89,26 +89,13 @@ scored AS (
 )"""
 
 
-_STAGED: dict = {}
-
-
-def once(name: str, spark: SparkSession, sf_dir: str, make):
-    """Staged tables are made once per session and read by every query that needs them."""
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGED:
-        _STAGED[key] = make()
-    return _STAGED[key]
-
-
 def phone_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Identities of the canonical phones and of all offers."""
-    return once("sides", spark, sf_dir, lambda: identity.build_sides(
-        phone_products(spark, sf_dir).drop("n", "gb", "c"), phone_offers(spark, sf_dir).drop("n", "gb", "c", "kind")
-    ))
+    return identity.build_sides(phone_products(spark, sf_dir).drop("n", "gb", "c"), phone_offers(spark, sf_dir).drop("n", "gb", "c", "kind"))
 
 
 def phone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("scores", spark, sf_dir, lambda: matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*"))
+    return matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*")
 
 
 @query("er_candidates", "WITH " + PHONES_SQL + " SELECT ref_id, cand_id FROM scored")
@@ -508,12 +495,9 @@ def resolve_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_intake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    def make():
-        phones, barcode, known = phone_tables(spark, sf_dir)
-        empty = spark.createDataFrame([], "listing_id string")
-        return catalog.intake(phone_requests(spark, sf_dir), phones, barcode, known, empty, now())
-
-    return once("intake", spark, sf_dir, make)
+    phones, barcode, known = phone_tables(spark, sf_dir)
+    empty = spark.createDataFrame([], "listing_id string")
+    return catalog.intake(phone_requests(spark, sf_dir), phones, barcode, known, empty, now())
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -251,29 +251,41 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], ch
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def rate_ingest(spark: SparkSession, archive: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def rate_ingest(spark: SparkSession, archive: DataFrame, path: str, checkpoint: str, overrides: DataFrame | None = None) -> StreamingQuery:
     """Ingest archived rate responses: parse, pick sources, validate against the latest known, store.
 
-    Every micro-batch writes its own folder by number, so a retry replaces what
-    the failed attempt left.
+    Batch N writes ``rates/batch=N``, and ``known/batch=N`` with the latest accepted
+    rate of each pair and type. It reads only ``known/batch=N-1``, so a retry replaces what the
+    failed attempt left and sees none of it, and no batch reads the history again. Manual rates in
+    ``overrides`` replace the fetched ones. Rates turn stale when they are read (``known_rates``).
     """
     from ..sources import rate_pages
 
     def work(batch: DataFrame, number: int) -> None:
-        known = None
-        if number > 0:
-            known = fx.latest_rates(spark.read.parquet(path).where(F.col("valid") & ~F.col("audit_only")), ["fetched_at", "source"])
+        known = spark.read.parquet(f"{path}/known/batch={number - 1}") if number > 0 else None
         found = rate_pages.rates(batch).withColumn("batch_id", F.lit(number))
         pyg = found.where(F.col("source").isin("bcp_referential", "bcb_sml"))
         picked = fx.first_source(pyg, ["bcp_referential", "bcb_sml"], ["batch_id"])
         rest = found.where(~F.col("source").isin("bcp_referential", "bcb_sml"))
-        tagged = fx.prefer_central_bank(fx.validate_batch(rest.unionByName(picked), known))
-        tagged.withColumn("batch", F.lit(number)).drop("last_known").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        tagged = fx.prefer_central_bank(fx.validate_batch(rest.unionByName(picked), known)).drop("last_known")
+        if overrides is not None:
+            tagged = fx.with_override(tagged, overrides)
+        own = f"{path}/rates/batch={number}"
+        tagged.write.mode("overwrite").parquet(own)
+        stored = spark.read.parquet(own)
+        accepted = stored.where(F.col("valid") & ~F.col("audit_only"))
+        merged = accepted if known is None else known.unionByName(accepted, allowMissingColumns=True)
+        fx.latest_rates(merged, ["fetched_at", "source"]).write.mode("overwrite").parquet(f"{path}/known/batch={number}")
 
     return for_each_batch(archive, work, checkpoint)
 
 
-def sweep_job(listings: Callable[[], DataFrame], pauses: Callable[[], DataFrame], out: str, limit: int):
+def known_rates(spark: SparkSession, path: str, number: int, now: Column) -> DataFrame:
+    """The latest accepted rates after batch ``number``, marked stale by age."""
+    return fx.latest_rates(spark.read.parquet(f"{path}/known/batch={number}"), ["fetched_at", "source"], now)
+
+
+def sweep_job(listings: Callable[[], DataFrame], pauses: Callable[[], DataFrame], out: str, limit: int | None = None):
     """Work of one monitoring sweep as a micro-batch function: the batch's tick rows give the time.
 
     ``listings`` and ``pauses`` read the current state tables; the work list of

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,31 @@ def test_promotions_lapse_by_timer(spark):
     want = monitoring.promotion_transitions(obs).where(F.col("at") < F.lit(last))
     got = got.where(F.col("at") < F.lit(last))
     assert rows_of(got, "listing_id", "at", "event_type") == rows_of(want, "listing_id", "at", "event_type")
+
+
+def test_rate_ingest_survives_a_failed_batch(spark, tmp_path, monkeypatch):
+    """A batch that fails half way and runs again gives what an unbroken run gives."""
+    body = '{{"value": [{{"cotacaoCompra": {0}, "cotacaoVenda": {0}, "dataHoraCotacao": "2026-0{1}-01 13:00:00.000"}}]}}'
+    start = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    days = [("bcb_ptax", body.format(rate, month), start + timedelta(days=30 * month), month) for month, rate in ((1, 5.0), (2, 5.1), (3, 6.3), (4, 5.2))]
+    made = spark.createDataFrame(days, "source string, body string, fetched_at timestamp, month int")
+    broken, whole = str(tmp_path / "broken"), str(tmp_path / "whole")
+
+    def ingest(path, fail):
+        folder = tempfile.mkdtemp(dir=tmp_path)
+        for k in range(len(days)):
+            made.where(F.col("month") == k + 1).drop("month").coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(made.drop("month").schema).parquet(folder)
+            if fail and k == 2:
+                real = jobs.fx.latest_rates
+                monkeypatch.setattr(jobs.fx, "latest_rates", lambda *a, **b: 1 / 0)
+                with pytest.raises(Exception):
+                    jobs.rate_ingest(spark, stream, path, path + "-checkpoint").awaitTermination()
+                monkeypatch.setattr(jobs.fx, "latest_rates", real)
+            jobs.rate_ingest(spark, stream, path, path + "-checkpoint").awaitTermination()
+        return rows_of(spark.read.parquet(f"{path}/rates"), "rate_type", "rate", "valid", "batch"), rows_of(jobs.known_rates(spark, path, len(days) - 1, F.lit(start + timedelta(days=500))), "rate_type", "rate", "status")
+
+    one, two = ingest(whole, False), ingest(broken, True)
+    assert one == two and one[0] and one[1]
+    assert any(row[2] == "False" or row[2] is False for row in one[0]), "the jump is refused"
+    assert all("6.3" not in str(row) and "stale" in str(row) for row in one[1])
