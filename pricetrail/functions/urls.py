@@ -86,3 +86,17 @@ def with_store(links: DataFrame, domains: DataFrame, url_column: str = "url") ->
 def request_key(store: Column, url: Column, product_id: Column, variant: Column) -> Column:
     """SHA-256 of a request: store, canonical link, product and variant."""
     return F.sha2(F.concat_ws("|", store, canonical(url), product_id, F.coalesce(variant, F.lit(""))), 256)
+
+
+# The language a host's pages are asked in; later rows count only where no earlier one does.
+HOST_LOCALES = (
+    ("nissei.com", "es-PY"), ("aliexpress.com", "pt-BR"), ("amazon.com", "en-US"), ("bestbuy.com", "en-US"), ("com.br", "pt-BR"),
+)
+LOCALE_OF_NAMES = (("shoppingchina", "pt-BR"),)
+
+
+def locale(url: Column) -> Column:
+    """The language that a store's pages are asked in, by the end of the host's name; NULL where none is known."""
+    name = F.concat(F.lit("."), F.regexp_replace(host(url), r"^www\.", ""))
+    rules = [F.when(name.endswith(F.lit(f".{end}")), F.lit(code)) for end, code in HOST_LOCALES]
+    return F.coalesce(*rules, *[F.when(name.contains(part), F.lit(code)) for part, code in LOCALE_OF_NAMES])

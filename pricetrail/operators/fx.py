@@ -168,6 +168,12 @@ def latest_rates(observations: DataFrame, order: Sequence[str] = ("fetched_at",)
     return latest
 
 
+def rates_of(latest: DataFrame, base: str | None = None, quote: str | None = None) -> DataFrame:
+    """The latest rates of one base or quote currency, or of both; all without either."""
+    rows = latest.where(F.col("base_currency") == base) if base else latest
+    return rows.where(F.col("quote_currency") == quote) if quote else rows
+
+
 def freshness(status: Column, fetched_at: Column, now: Column, after: int = STALE_AFTER_SECONDS) -> Column:
     known = F.when(status.isin("fresh", "stale", "unavailable"), status)
     old = F.unix_timestamp(fetched_at) < F.unix_timestamp(now) - after

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import history, rates, reporting, resolution, watch, wording
+from . import history, rates, reporting, resolution, searching, watch, wording
 
-MODULES = [history, watch, rates, wording, resolution, reporting]
+MODULES = [history, watch, rates, wording, resolution, reporting, searching]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
