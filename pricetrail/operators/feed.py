@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.money import any_amount, commercial, currency_code, direction, plain_money, price_choice
 from ..functions.text import matches_all_terms
 from ..rules.stores import DEFAULT_LABEL, STORES, store_table
+from ..session import staged
 
 # Event names.
 FEED_TYPES = (
@@ -87,7 +88,8 @@ def suppress_secondary(events: DataFrame) -> DataFrame:
 
     "Same observation" is one of three equalities, so the peers are aggregated
     once per equality (one row per listing and observation, combined before the
-    shuffle) and joined back on that key. A listing's events are never paired.
+    shuffle) and joined back on that key. A listing's events are never paired. Only
+    ids, types and keys take part; the payloads move once, to drop the secondary events.
     """
     after, before = F.col("after"), F.col("before")
     kind = F.col("event_type")
@@ -97,11 +99,16 @@ def suppress_secondary(events: DataFrame) -> DataFrame:
         "observed": (after["scraped_at"], F.lit(True)),
         "previous": (before["scraped_at"], legacy),
     }
-    relevant = events.where(kind.isin(*CREATION, *PROMOTION, *SOLD_OUT))
-    joined = events
-    for name, (key, peer_ok) in keys.items():
+    # other types are nobody's peer and never secondary
+    narrow = events.where(kind.isin(*CREATION, *PROMOTION, *SOLD_OUT, "availability_changed", "price_changed")).select(
+        "id", "listing_id", kind, *[key.alias(f"__{name}_key") for name, (key, _) in keys.items()], F.coalesce(legacy, F.lit(False)).alias("__legacy")
+    )
+    relevant = narrow.where(kind.isin(*CREATION, *PROMOTION, *SOLD_OUT))
+    joined = narrow
+    for name in keys:
+        key = F.col(f"__{name}_key")
         peers = (
-            relevant.where(peer_ok & key.isNotNull())
+            relevant.where((F.col("__legacy") if name == "previous" else F.lit(True)) & key.isNotNull())
             .select(
                 F.col("listing_id").alias("__listing"),
                 key.alias("__key"),
@@ -128,7 +135,7 @@ def suppress_secondary(events: DataFrame) -> DataFrame:
         | ((kind == "price_changed") & flag("promotion"))
         | (kind.isin(*CREATION) & newer)
     )
-    return joined.where(~secondary).select(*events.columns)
+    return events.join(joined.where(secondary).select("listing_id", "id"), ["listing_id", "id"], "left_anti").select(*events.columns)
 
 
 def summary_events(events: DataFrame) -> DataFrame:
@@ -181,7 +188,9 @@ def change_page(
     if f.product_id is not None:
         product_cols = product_cols.where(F.col("product_id") == F.lit(f.product_id))
 
-    base = events
+    # peers belong to the same listing, so other listings' events can go before them
+    shown = listings.select(F.col("id").alias("listing_id"), F.col("canonical_product_id").alias("product_id")).join(product_cols, "product_id", "left_semi")
+    base = events.join(shown.select("listing_id"), "listing_id", "left_semi")
     if f.started_at:
         # the range also bounds the peers' listing partitions only after suppression
         after_start = F.col("detected_at") >= F.lit(f.started_at)
@@ -263,11 +272,13 @@ def hydrate(
     snapshots: DataFrame,
     overrides: DataFrame | None = None,
 ) -> DataFrame:
-    """Join a page (at most 51 rows, so broadcast) to what it shows."""
+    """Join a page (at most 51 rows, so broadcast) to what it shows. The page and its events are made once."""
+    page = staged(page)
     small = F.broadcast(page.withColumnRenamed("id", "key"))
     found = events.join(small.where(F.col("event_id").isNotNull()), events["id"] == small["event_id"]).select(
         "key", "occurred_at", small["product_id"], "event_id", "listing_id", "event_type", "before", "after", "detected_at"
     )
+    found = staged(found)
     asked = F.broadcast(found.select("event_id", "listing_id", "detected_at"))
     shot = (
         snapshots.select("listing_id", "scraped_at", F.col("id").alias("__sid"), "payload")
@@ -308,7 +319,7 @@ def offer_change(rows: DataFrame) -> DataFrame:
     creation = F.coalesce(kind.isin(*CREATION), F.lit(False))
     expired = F.coalesce(kind == "promotion_expired", F.lit(False))
     after, before, shot = F.col("after"), F.col("before"), F.col("snapshot")
-    staged = rows.withColumns(
+    made = rows.withColumns(
         {
             "__after": F.when(creation | (promotional & ~expired), _merged(shot, after, schema)).otherwise(after),
             "__before": F.when(expired, _merged(shot, before, schema)).otherwise(before),
@@ -317,7 +328,7 @@ def offer_change(rows: DataFrame) -> DataFrame:
     after, before = F.col("__after"), F.col("__before")
     old, old_kind = price_choice(before, promotional)
     new, new_kind = price_choice(after, promotional)
-    staged = staged.withColumns({"__old": old, "__old_kind": old_kind, "__new": new, "__new_kind": new_kind})
+    made = made.withColumns({"__old": old, "__old_kind": old_kind, "__new": new, "__new_kind": new_kind})
     old_regular, new_regular = any_amount(before["price"]), any_amount(after["price"])
     card_moved = F.coalesce(
         (kind == "price_changed") & F.col("__old").eqNullSafe(F.col("__new")) & (old_regular != new_regular),
@@ -331,7 +342,7 @@ def offer_change(rows: DataFrame) -> DataFrame:
         F.when(promotional, currency_code(shot["currency"])),
         F.when(no_new, old_currency),
     )
-    staged = staged.withColumns(
+    made = made.withColumns(
         {
             "old_price": F.when(card_moved, old_regular).otherwise(F.col("__old")),
             "old_price_kind": F.when(card_moved, "regular").otherwise(F.col("__old_kind")),
@@ -355,7 +366,7 @@ def offer_change(rows: DataFrame) -> DataFrame:
         kind == "price_changed",
         direction(F.col("old_price"), F.col("new_price"), F.col("old_currency"), F.col("currency")),
     )
-    return staged.withColumn("price_direction", moved).drop(
+    return made.withColumn("price_direction", moved).drop(
         "__after", "__before", "__old", "__old_kind", "__new", "__new_kind"
     )
 

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import staged
+
 SEGMENT = "__segment"
 CUT_ROWS = 5_000_000
 MAX_SEGMENTS = 20_000
@@ -68,6 +70,16 @@ def cut_points(
     return spark.createDataFrame(rows, points.schema)
 
 
+def with_segment(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """Add how many of a row's sorted ``__cuts``, at most ``most``, do not come after it, by halving steps."""
+    at = F.struct(*[F.col(c) for c in order])
+    df = df.withColumn(SEGMENT, F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        passed = F.get("__cuts", F.col(SEGMENT) + F.lit((1 << k) - 1)) <= at
+        df = df.withColumn(SEGMENT, F.col(SEGMENT) + F.when(passed, F.lit(1 << k)).otherwise(F.lit(0)))
+    return df
+
+
 class KeyedSequence:
     """Rows of each key in a total order, with state carried along it."""
 
@@ -85,13 +97,9 @@ class KeyedSequence:
         if cuts is None:
             self.df = df.withColumn(SEGMENT, F.lit(0))
         else:
-            passed = F.filter(F.col("__cuts"), lambda p: p <= F.struct(*[F.col(c) for c in order]))
-            self.df = (
-                df.join(F.broadcast(cuts), self.keys, "left")
-                .withColumn(SEGMENT, F.coalesce(F.size(passed), F.lit(0)))
-                .withColumn("__hot", F.col("__cuts").isNotNull())
-                .drop("__cuts")
-            )
+            most = cuts.agg(F.max(F.size("__cuts"))).first()[0]
+            marked = with_segment(df.join(F.broadcast(cuts), self.keys, "left"), order, most)
+            self.df = marked.withColumn("__hot", F.col("__cuts").isNotNull()).drop("__cuts")
 
     def _window(self):
         keys = [*self.keys, SEGMENT] if self.cut else self.keys
@@ -267,6 +275,7 @@ def fold(
         return ready.mapInPandas(rows_out, row_schema)
 
     spark = df.sparkSession
+    base = staged(base)  # read again in every round
     enter_schema = T.StructType(
         [*key_fields, T.StructField(SEGMENT, T.IntegerType()), T.StructField("__enter", T.StringType())]
     )

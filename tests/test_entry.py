@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import __spark_entry__ as entry
 from pricetrail.operators import identity, monitoring, runs
+from pricetrail.plans import registry
 
 T0 = datetime(2026, 9, 1, tzinfo=timezone.utc)
 
@@ -14,7 +15,8 @@ def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert len(queries) > 100
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"spacing_audit", "search_queries", "store_order"}
+    assert set(registry.QUERIES) <= set(queries)
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"spacing_audit", "search_queries", "store_order"}
 
 
 def test_entry(spark):
