@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from ..functions.money import round_cents
 from ..schema import RATE, S, struct
 from ..sequences import KeyedSequence, fold
+from ..session import staged
 from .changes import latest_per_key
 
 PAIR = ["base_currency", "quote_currency"]
 RATE_KEY = [*PAIR, "rate_type"]
+MAX_CURRENCIES = 1000
 # Default rate type per pair, preference order, magnitude bands, limits.
 DEFAULT_TYPE = {("USD", "BRL"): "tourism_sell", ("PYG", "BRL"): "official", ("USD", "PYG"): "official"}
 PREFERENCE = ("tourism_sell", "official", "ptax_sell", "market", "tourism_buy", "ptax_buy")
@@ -203,12 +205,14 @@ def convert(
 ) -> DataFrame:
     """Add converted amount, rate and status to rows with ``amount`` and ``currency``.
 
-    One aggregate row per currency joins the prices; AQE broadcasts it when its
-    measured size allows. There are no cross rates.
+    One aggregate row per currency is made, counted and broadcast, so prices are not
+    shuffled on a handful of currencies. There are no cross rates.
     """
     picked = rate_per_pair(latest, rate_type).where(F.col("quote_currency") == to_currency)
-    picked = picked.select(F.col("base_currency").alias("currency"), "fx")
-    rows = prices.join(picked, "currency", "left")
+    picked = staged(picked.select(F.col("base_currency").alias("currency"), "fx"))
+    if picked.count() > MAX_CURRENCIES:
+        raise ValueError(f"rates of more than {MAX_CURRENCIES} currencies")
+    rows = prices.join(F.broadcast(picked), "currency", "left")
     own = F.col("currency") == to_currency
     rate = F.when(F.col("fx.rate") > 0, F.col("fx.rate"))
     product = (F.col("amount").cast("decimal(18,4)") * rate).cast("decimal(38,10)")

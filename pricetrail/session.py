@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -75,5 +78,23 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    _STAGED.append((spark.sparkContext, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED: list[tuple[SparkContext, str]] = []
+
+
+@atexit.register
+def clear_staged() -> None:
+    """Delete the tables that this process has staged; frames that read them cannot be read again."""
+    while _STAGED:
+        context, path = _STAGED.pop()
+        if context._jsc is None:  # stopped
+            continue
+        try:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        except (Py4JError, OSError):  # the JVM has gone before
+            return
