@@ -22,21 +22,20 @@ SEED = "importance"
 FEW = 50_000  # keys that the driver sorts
 
 
-class Grams:
-    """The buckets of a text's tokens and of its pairs of neighbouring tokens, repeats included."""
+class Grams(dict):
+    """The buckets of a text's tokens and of its pairs of neighbouring tokens, repeats included. Remembers the hashes of tokens."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, token: str) -> int:
+        self[token] = found = xxhash.xxh64_intdigest(token)
+        return found
 
     def hashes(self, text: bytes) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, out = self.known, []
+        out = []
         for part in slices(text):
+            if len(self) > CACHE:
+                self.clear()
             tokens = TOKENS.findall(part.decode(errors="replace"))
-            for t in set(tokens) - known.keys():
-                known[t] = xxhash.xxh64_intdigest(t)
-            out.append(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)))
+            out.append(np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def __call__(self, text: bytes) -> np.ndarray:
