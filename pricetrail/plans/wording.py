@@ -408,14 +408,29 @@ def duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.hms(ms).alias("took"))
 
 
-@query("store_order")
+def store_order_sql() -> str:
+    from ..rules import stores as rules
+
+    ranks = [(i, s[0], rules.LOCALE_RANK.get(s[0], rules.DEFAULT_LOCALE_RANK), rules.BARCODE_RANK.get(s[0], rules.DEFAULT_BARCODE_RANK)) for i, s in enumerate(rules.STORES)]
+    values = ", ".join(f"({i}, '{key}', {locale}, {barcode})" for i, key, locale, barcode in ranks)
+    return f"""WITH s(i, store_key, locale_rank, barcode_rank) AS (VALUES {values}),
+    u AS (SELECT DISTINCT s.* FROM s JOIN supplier ON s_suppkey % {len(ranks)} = i),
+    m AS (SELECT CASE WHEN bool_or(locale_rank = {rules.HOME_LOCALE_RANK}) THEN {rules.HOME_LOCALE_RANK} ELSE mode(locale_rank) END AS home FROM u)
+    SELECT store_key, CASE WHEN locale_rank <> home THEN 3 WHEN barcode_rank <= {rules.FIRST_WAVE_MAX_RANK} THEN 1 ELSE 2 END AS wave,
+      CASE WHEN store_key = 'kabum' THEN 1 ELSE 0 END AS reference_last, locale_rank, barcode_rank,
+      row_number() OVER (ORDER BY CASE WHEN store_key = 'kabum' THEN 1 ELSE 0 END, locale_rank, barcode_rank, store_key) AS place FROM u, m"""
+
+
+@query("store_order", store_order_sql())
 def store_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search order of the stores that the suppliers stand for."""
+    from pyspark.sql import Window
+
     from ..operators import runs
     from ..rules.stores import STORES
 
     keys = literal_list([s[0] for s in STORES])
     stores = table(spark, sf_dir, "supplier").select(F.get(keys, (F.col("s_suppkey") % len(STORES)).cast("int")).alias("store_key"))
-    return runs.order_stores(stores, "kabum").select("store_key", "wave", "reference_last", "locale_rank", "barcode_rank")
-
-
+    ordered = runs.order_stores(stores, "kabum").select("store_key", "wave", "reference_last", "locale_rank", "barcode_rank")
+    place = F.row_number().over(Window.orderBy("reference_last", "locale_rank", "barcode_rank", "store_key"))  # a few dozen stores
+    return ordered.withColumn("place", place)
