@@ -23,7 +23,7 @@ END = 2
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 POOL = 1024  # pieces a task chooses from at once
 EMPTY = float(1 << 60)
-KNOWN_WORDS = 300_000  # words a task remembers at once
+KNOWN_WORDS = 600_000  # words a task remembers at once
 READ_BYTES = 1 << 20  # text that is split into words at once
 SCHEMA = "id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,12 +58,14 @@ class Encoder(dict):
         runs = TWO_RUNS(word)
         if runs is None:
             found = self.slowly(word)
-        else:
-            letters, marks = runs.groups()
+        elif marks := runs[2]:
             if marks not in self.marks:
                 self.marks[marks] = self.slowly(marks)
-            ids = [t.id for t in self.tokenize(letters.decode("latin-1").translate(BYTE_LETTERS))]
-            found = struct.pack(f"<{len(ids)}I", *ids) + self.marks[marks]
+            found = self[runs[1]] + self.marks[marks]
+        else:
+            letters = word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.tokenize(letters)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = found
         return found
 
