@@ -135,8 +135,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, the one with the least id. Rows that repeat an id count as one document,
-    and so do rows without an id."""
-    groups = simhash_groups(docs)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keep one row of each group: the one with the least id, rows without an id last, then by the hashes of text and row.
+
+    Rows are told apart by a hash of all their columns, so rows that share an id or have none are chosen each by its own text.
+    """
+    row = F.xxhash64(*[part for c in docs.columns for part in (F.col(c), F.col(c).isNull())])
+    keyed = docs.withColumn("__row", row)
+    groups = simhash_groups(keyed, "__row").select(F.col("id").alias("__row"), "component").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    least = keyed.select("__row", order.alias("order")).distinct().join(groups, "__row").groupBy("component").agg(F.min("order").alias("order"))
+    kept = least.select(F.col("order.__row").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
