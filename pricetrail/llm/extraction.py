@@ -44,9 +44,9 @@ def features(block: Block, place: int, number: int) -> list[str]:
     long_ = min(words.bit_length(), 8)
     out = [
         "any", f"words {long_}", f"linked {linked}", f"words {long_} linked {linked}", f"bold {2 * min(block.bold, size) // size}",
-        f"ends {text[-1] if text[-1] in '.!?:…' else 'open'}", f"commas {min(text.count(','), 3)}", f"digits {4 * sum(map(str.isdigit, text[:200])) // min(size, 200)}",
+        f"ends {text[-1] if text[-1] in '.!?:…' else 'open'}", f"commas {min(text.count(','), 3)}", f"digits {4 * sum(map(str.isdigit, text)) // size}",
     ]
-    if text[0] in "©®" or "©" in text[:200]:
+    if text[0] in "©®" or "©" in text:
         out.append("copyright")
     if place == 0:
         out.append("first")
