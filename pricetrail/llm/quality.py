@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .common import held_out, rows_of, slices, staged, table, text_bytes, uniform
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000  # labelled texts that the target model is made of, about
 SMOOTHING = 2.0  # added to each bucket's count
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 CACHE = 200_000  # tokens a task remembers at once
@@ -45,18 +44,15 @@ class Grams(dict):
         return (np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> np.ndarray:
+def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Per bucket the log of how much likelier it is in target text than in raw text.
 
-    The raw model counts the n-grams of all docs. The target model counts those of the docs whose ids are
-    in ``target``, about ``target_rows`` of them, drawn by a hash. Counts are added up by task before they
+    The raw model counts the n-grams of all docs. The target model counts those of all docs whose ids are
+    in ``target``. Counts are added up by task before they
     are shuffled; the driver gets one row per bucket. Without target texts all ratios are 1.
     """
-    ids = target.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    bound = F.lit(min(1.0, target_rows / max(ids.count(), 1)))
-    drawn = ids.where(uniform(F.col("id"), "target") <= bound).select("id", F.lit(True).alias("target"))
-    # about target_rows ids: a bound that does not grow with the data
-    marked = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(F.broadcast(drawn), "id", "left")
+    ids = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
+    marked = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(), np.zeros((2, BUCKETS), np.int64)
@@ -120,7 +116,7 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
             low = max(low, ends[0])
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: ``id``, ``log_weight``, ``key`` and ``kept``.
 
     The log weight is the log likelihood of the whole text's tokens and token pairs under the
@@ -129,7 +125,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float, id_col: str = "do
     weight. Rows with equal keys, as rows that repeat, are kept together. Null and empty texts weigh
     1 (log 0). An empty table gives none. Only the two named columns are read.
     """
-    found = weigh(docs, log_ratios(docs, target, id_col, text_col, target_rows), id_col, text_col)
+    found = weigh(docs, log_ratios(docs, target, id_col, text_col), id_col, text_col)
     noise = -F.log(-F.log(F.least(uniform(F.col("id"), SEED), F.lit(1 - 2.0**-53))))
     rows = staged(found.select("id", "log_weight", (F.col("log_weight") + noise).alias("key")))
     total = rows.count()
