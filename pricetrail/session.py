@@ -69,6 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there goes when the process ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _STAGED.append((spark.sparkContext, path))
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read to the shared folder, and read it back.
 
@@ -77,8 +84,7 @@ def staged(df: DataFrame) -> DataFrame:
     being columnar lets each step read only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
-    _STAGED.append((spark.sparkContext, path))
+    path = shared_path(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
