@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, extraction, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity, warc, whitening
+from . import conversations, embedding_dedup, extraction, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversations": conversations.op11_conversations,
     "op12_whitening": whitening.op12_whitening,
     "op13_warc": warc.op13_warc,
 }
