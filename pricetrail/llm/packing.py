@@ -22,8 +22,11 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 POOL = 1024  # pieces a task chooses from at once
+POOL_TOKENS = 1 << 20  # tokens that wait in the pool, but for its last piece
+OUT_BYTES = 4 << 20  # ids in a batch of results, about
 EMPTY = float(1 << 60)
-KNOWN_WORDS = 600_000  # words a task remembers at once
+KNOWN_BYTES = 40 << 20  # memory for the words that a task remembers
+WORD_BYTES = 200  # of that, what a word takes besides its letters and ids
 READ_BYTES = 1 << 20  # text that is split into words at once
 SCHEMA = "id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,8 +40,8 @@ BYTE_LETTERS = {byte: chr(0x100 + k) for k, byte in enumerate(HIDDEN_BYTES)}
 class Encoder(dict):
     """Token ids of whole texts by a tokenizer that lower-cases and never joins over ASCII white space.
 
-    Gives the ids that the tokenizer gives for the text, special-token strings taken as
-    ordinary text. Remembers the ids of words, as little-endian unsigned 32-bit numbers;
+    Gives the ids that the tokenizer gives for the text: strings of special tokens are found in the
+    raw text and stand for themselves. Remembers the ids of words, as little-endian unsigned 32-bit numbers;
     the letters of a new word go straight to the tokenizer's model, which is much quicker
     than the way through normalising and splitting that any other word takes.
     """
@@ -47,9 +50,20 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: special tokens that are more than their string are not supported")
+        self.special = {t.content.encode(): struct.pack("<I", i) for i, t in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
+        # words come lower-cased, when "<|END|>" looks like "<|end|>": only the raw text can tell
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.marks: dict[bytes, bytes] = {b"": b""}
+        self.held = 0
 
     def slowly(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,15 +81,20 @@ class Encoder(dict):
             ids = [t.id for t in self.tokenize(letters)]
             found = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = found
+        self.held += len(word) + len(found) + WORD_BYTES
         return found
 
     def ids(self, text: bytes) -> bytes:
         out = []
         for part in slices(text, READ_BYTES):
-            if len(self) > KNOWN_WORDS:
-                self.clear()
-                self.marks = {b"": b""}
-            out.extend(map(self.__getitem__, part.lower().split()))  # of bytes: only A-Z change, only ASCII white space splits
+            if self.held > KNOWN_BYTES:
+                self.forget()
+            # a special token holds no white space, so no slice cuts one
+            for piece in self.cuts.split(part) if self.cuts else [part]:
+                if piece in self.special:
+                    out.append(self.special[piece])
+                else:
+                    out.extend(map(self.__getitem__, piece.lower().split()))  # of bytes: only A-Z change, only ASCII white space splits
         return b"".join(out)
 
 
@@ -123,20 +142,22 @@ class Packer:
     tokens are used up, or when nothing is left.
     """
 
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
+    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, most: int = POOL_TOKENS):
         self.limits = tokens, segments, loss
+        self.most, self.held = most, 0  # tokens in the pool
         self.pieces: list[Piece | None] = [None] * pool
         self.need = np.full((2, pool), EMPTY)  # tokens and loss tokens; an empty place needs too much
         self.open = list(range(pool))[::-1]
 
     def put(self, place: int, piece: Piece | None) -> None:
+        self.held += (0 if piece is None else len(piece.ids)) - (0 if self.pieces[place] is None else len(self.pieces[place].ids))
         self.pieces[place] = piece
         self.need[:, place] = EMPTY if piece is None else (len(piece.ids), piece.loss_tokens)
         if piece is None:
             self.open.append(place)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        while not self.open:
+        while not self.open or self.held > self.most:
             yield self.sequence()
         self.put(self.open.pop(), piece)
 
@@ -190,8 +211,8 @@ def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segm
     tokens bear loss where its ``loss`` is true, and ``end`` does as the last text does.
     Returns a row per piece: where it starts among the item's ids, its length, its ids (little-endian
     unsigned 32-bit), its loss tokens, the item's ids, its sequence and its place there. A sequence
-    keeps within all three limits. Each input partition is packed by itself, with a pool of a bounded number of items,
-    so nothing is shuffled and any number of rows fits; its sequences have full
+    keeps within all three limits. Each input partition is packed by itself, with a pool of a bounded number of items and
+    tokens, so nothing is shuffled and any number of rows of any length fits; its sequences have full
     length, or else lengths that are powers of two. Null texts are empty; an item without texts
     is ``end`` alone, bearing loss; repeated rows are packed each; an empty table gives none.
     """
@@ -214,25 +235,27 @@ def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segm
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
+        def all_rows() -> Iterator[tuple]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    texts, marks = batch.column("texts")[k].as_py() or [], batch.column("loss")[k].as_py() or []
+                    ids = [np.frombuffer(read(t or b""), "<u4") for t in texts]
+                    ids.append(np.array([end], "<u4"))
+                    marks = [bool(m) for m in marks] or [True]
+                    marks.append(marks[-1])
+                    counts = None if all(marks) else np.concatenate([[0], np.cumsum(np.repeat(marks, [len(x) for x in ids]))])
+                    whole = np.concatenate(ids)
+                    yield from rows(packer.add(Piece(batch.column("id")[k].as_py(), 0, whole, counts, len(whole))))
+            yield from rows(packer.rest())
+
         made: list[tuple] = []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                texts, marks = batch.column("texts")[k].as_py() or [], batch.column("loss")[k].as_py() or []
-                ids = [np.frombuffer(read(t or b""), "<u4") for t in texts]
-                ids.append(np.array([end], "<u4"))
-                marks = [bool(m) for m in marks] or [True]
-                marks.append(marks[-1])
-                counts = None if all(marks) else np.concatenate([[0], np.cumsum(np.repeat(marks, [len(x) for x in ids]))])
-                whole = np.concatenate(ids)
-                made.extend(rows(packer.add(Piece(batch.column("id")[k].as_py(), 0, whole, counts, len(whole)))))
-                if len(made) >= 2048:
-                    yield batch_of(made)
-                    made = []
-        for row in rows(packer.rest()):
+        size = 0
+        for row in all_rows():
             made.append(row)
-            if len(made) >= 2048:
+            size += len(row[3])
+            if len(made) >= 2048 or size >= OUT_BYTES:
                 yield batch_of(made)
-                made = []
+                made, size = [], 0
         if made:
             yield batch_of(made)
 

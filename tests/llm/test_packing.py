@@ -17,14 +17,12 @@ SCHEMA = "doc_id long, text string, start string, ids int, offset int"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def texts():
     rng = random.Random(8)
-    odd = ["don't", "I'LL", '."\'s', "word.”", "a—b", "É", "été", "naïve,", "x y", "12a3", "<|endoftext|>", "日本語", "\U0001f600!", "ΣΑΣ", "it's)", "ﬁn", "İx", "a‍b", "\x1c", "under_score", "ñ.é", "ß!?", "x÷y", "--'--", "É.'"]
+    odd = ["don't", "I'LL", '."\'s', "word.”", "a—b", "É", "été", "naïve,", "x y", "12a3", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "x<|endoftext|>'s", "日本語", "\U0001f600!", "ΣΑΣ", "it's)", "ﬁn", "İx", "a‍b", "\x1c", "under_score", "ñ.é", "ß!?", "x÷y", "--'--", "É.'"]
     made = []
     for n in [0, 1, 3, 40, 700, 3000] * 4:
         made.append("".join(rng.choice(odd + ["Plain", "words", "here."]) + rng.choice([" ", "\n", "\t ", "\x0b", " \x0c"]) for _ in range(n)))
@@ -32,7 +30,7 @@ def texts():
 
 
 def test_ids_are_the_tokenizers(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN_WORDS", 20)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 6000)
     monkeypatch.setattr(packing, "READ_BYTES", 5000)
     encoder = packing.Encoder(PATH)
     for text in texts():
@@ -103,6 +101,23 @@ def test_the_best_product_is_taken():
     assert [p.id for p in packer.sequence()] == [1]
 
 
+def test_special_tokens_stand_for_themselves():
+    ids = lambda text: np.frombuffer(packing.Encoder(PATH).ids(text.encode()), "<u4").tolist()
+    assert ids("hello <|endoftext|> world") == [3306, 49407, 1002]
+    assert ids("a<|startoftext|><|endoftext|>") == [320, 49406, 49407]
+    assert ids("<|ENDOFTEXT|>") == ids("<| endoftext |>")
+
+
+def test_the_pool_is_bounded_by_tokens():
+    packer, most, given = packing.Packer(tokens=10, segments=3, loss=10, pool=100, most=50), 0, 0
+    for i in range(200):
+        given += sum(len(p.ids) for own in packer.add(packing.Piece(i, 0, np.arange(7), None, 7)) for p in own)
+        most = max(most, packer.held)
+        assert given + packer.held == 7 * (i + 1)
+    assert most <= 50 + 7
+    assert sum(len(p.ids) for own in packer.rest() for p in own) + given == 1400 and packer.held == 0
+
+
 def test_empty_table(spark):
     assert packing.pack(packing.as_items(spark.createDataFrame([], SCHEMA)), PATH).collect() == []
 
