@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from pricetrail.session import checkpoint_dir, staged
 
-__all__ = ["WORD", "checkpointed", "forest", "held_out", "rows_of", "slices", "staged", "table", "text_bytes", "uniform"]
+__all__ = ["WORD", "checkpointed", "forest", "held_out", "rows_of", "slices", "split", "staged", "table", "text_bytes", "uniform"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SLICE = 1 << 20  # bytes of a text that are split into words at once
+MOST_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +78,21 @@ def uniform(key: Column, seed: str) -> Column:
     """A number over 0 and up to 1 that depends on the key and the seed alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("-"))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+
+
+def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A table of bits that are set for all keys and few others: 16 bits a key up to ``MOST_BITS`` (8 MB), so it may be broadcast."""
+    bits = min(MOST_BITS, 1 << max(18, math.ceil(math.log2(16 * keys.count() + 1))))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), bits
+
+
+def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the keys, and those whose key certainly is not, without a shuffle."""
+    filled, bits = bit_filter(keys, key)
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = F.bitmap_bit_position(place)
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(filled), "bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("met", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    return marked.where("met").select(*rows.columns), marked.where("not met").select(*rows.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, rows_of, slices, staged, table, text_bytes, uniform
+from .common import held_out, rows_of, slices, split, staged, table, text_bytes, uniform
 
 BUCKETS = 1 << 16
 SMOOTHING = 2.0  # added to each bucket's count
@@ -48,11 +48,15 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     """Per bucket the log of how much likelier it is in target text than in raw text.
 
     The raw model counts the n-grams of all docs. The target model counts those of all docs whose ids are
-    in ``target``. Counts are added up by task before they
+    in ``target``. Only texts that a filter of bits takes for targets are shuffled to the ids, by a
+    sort-merge join at any size; all others are counted where they are read, so that each text is read once. Counts are added up by task before they
     are shuffled; the driver gets one row per bucket. Without target texts all ratios are 1.
     """
-    ids = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids, "id", "left")
+    ids = staged(target.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    some, others = split(rows.where("id is not null"), ids, "id")
+    others = others.unionByName(rows.where("id is null")).select("text", F.lit(False).alias("target"))
+    marked = some.join(ids.withColumn("target", F.lit(True)).hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(), np.zeros((2, BUCKETS), np.int64)
@@ -65,7 +69,7 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "raw", "target"])
 
-    found = marked.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(run, "bucket long, raw long, target long")
+    found = marked.unionByName(others).mapInArrow(run, "bucket long, raw long, target long")
     sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[:, sums["bucket"].to_numpy(int)] = sums[["raw", "target"]].to_numpy(float).T
@@ -76,16 +80,18 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: ``id``, ``log_weight`` (of the whole text; 0 without tokens) and ``grams``, their number."""
+    """One row per row of docs: ``id``, ``u``, a uniform number by the id (without an id by the text), ``log_weight`` (of the whole text; 0 without tokens) and ``grams``, their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for ids, texts in rows_of(batches, "id", "text"):
-            found = [grams(t) for t in texts]
+        for batch in batches:
+            found = [grams(t) for t in batch.column("text").to_pylist()]
             weights = pa.array([float(ratios[g].sum()) for g in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), weights, pa.array([len(g) for g in found], pa.int64())], ["id", "log_weight", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), weights, pa.array([len(g) for g in found], pa.int64())], ["id", "u", "log_weight", "grams"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, "id long, log_weight double, grams long")
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(text_bytes(text_col))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), uniform(key, SEED).alias("u"), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, u double, log_weight double, grams long")
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> float:
@@ -120,13 +126,13 @@ def resample(docs: DataFrame, target: DataFrame, share: float, id_col: str = "do
     """One row per row of docs: ``id``, ``log_weight``, ``key`` and ``kept``.
 
     The log weight is the log likelihood of the whole text's tokens and token pairs under the
-    target model less that under the raw model. With Gumbel noise from a hash of the id added, the
+    target model less that under the raw model. With Gumbel noise from a hash of the id (without an id: of the text) added, the
     keys of the ``share`` of all rows that are kept are the largest: a sample without replacement by
     weight. Rows with equal keys, as rows that repeat, are kept together. Null and empty texts weigh
     1 (log 0). An empty table gives none. Only the two named columns are read.
     """
     found = weigh(docs, log_ratios(docs, target, id_col, text_col), id_col, text_col)
-    noise = -F.log(-F.log(F.least(uniform(F.col("id"), SEED), F.lit(1 - 2.0**-53))))
+    noise = -F.log(-F.log(F.least(F.col("u"), F.lit(1 - 2.0**-53))))
     rows = staged(found.select("id", "log_weight", (F.col("log_weight") + noise).alias("key")))
     total = rows.count()
     k = round(total * share)

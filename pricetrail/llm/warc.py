@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -13,13 +12,12 @@ from pyspark.sql import functions as F
 
 from pricetrail.session import shared_path
 
-from .common import staged, table
+from .common import split, staged, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"  # ends a header, and a record
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_BYTES = 0  # payloads below this are never revisits
-MOST_BITS = 1 << 26
 BUCKET = 64 << 20  # bytes of an archive that a task reads, about
 GAP = 64 << 10  # bytes between two records that are read along rather than skipped
 READ = 8 << 20  # bytes of a read, unless a record is longer
@@ -62,24 +60,6 @@ def record(kind: str, payload: Column, refers_to: Column | None) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """A table of bits that are set for all keys and few others: 16 bits a key up to ``MOST_BITS`` (8 MB), so it may be broadcast."""
-    bits = min(MOST_BITS, 1 << max(18, math.ceil(math.log2(16 * keys.count() + 1))))
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), bits
-
-
-def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among the keys, and those whose key certainly is not, without a shuffle."""
-    filled, bits = bit_filter(keys, key)
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    at = F.bitmap_bit_position(place)
-    marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(filled), "bucket", "left")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = marked.withColumn("met", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
-    return marked.where("met").select(*rows.columns), marked.where("not met").select(*rows.columns)
-
-
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None:
     """Write a record for each row of pages (``page_id``, ``url``, ``html``, ``row``: a number of its own for each row) to archives in folder.
 
