@@ -80,53 +80,78 @@ def taken(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     return rows.join(ranges, ["source_key", "range"]).withColumn("taken", own.cast("long")).drop("key", "range", "before")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, *extra: Column) -> DataFrame:
-    """One row per row of docs: ``id``, ``size``, ``source_size``, ``target``, ``taken`` and the extra columns.
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy`` to rows with ``row`` (a number of its own), ``content`` and ``source_key``: from 0 among the rows of equal content and source.
 
-    ``taken`` is how many words the mix takes of the document, repeats counted. Null and empty texts have
-    size 0 and give nothing; rows that repeat an id have one key and are ordered by size;
-    null sources are a source of their own, the last; without any word all targets are 0;
-    an empty table gives none. The result depends on the rows alone. A weight below
-    ``LEAST_QUALITY`` or null counts as that.
+    Rows are numbered inside the part of the input that they come from, and go on where the parts before end, so that not even
+    equal rows in any number meet in one task.
     """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    same = ["content", "source_key", "part"]
+    before = Window.partitionBy("content", "source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*same).agg(F.count("*").alias("n")).select(*same, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(*same).orderBy("row")) - 1
+    return rows.withColumn("inside", inside).join(parts, same).withColumn("copy", F.col("first") + F.col("inside")).drop("part", "inside", "first")
+
+
+def mix_rows(rows: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """``mix`` for rows that have a ``row``, which comes back too."""
     text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col).cast("string")).alias("source_key"), word_count(text).alias("size"),
-        (quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))).alias("weight"), uniform(F.col(id_col), SEED).alias("uniform"), *extra,
+    content = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+    keys = rows.select(
+        "row", F.col(id_col).cast("long").alias("id"), content.alias("content"), source_key(F.col(source_col).cast("string")).alias("source_key"), word_count(text).alias("size"),
+        (quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))).alias("weight"),
     )
-    return taken(staged(rows)).drop("source_key", "weight", "uniform")
+    keys = numbered(staged(keys))
+    keys = staged(keys.select("row", "id", "source_key", "size", "weight", uniform(F.concat("content", F.lit(":"), F.col("copy").cast("string")), SEED).alias("uniform")))
+    return taken(keys).drop("source_key", "weight", "uniform")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+    """One row per row of docs: ``id``, ``size``, ``source_size``, ``target`` and ``taken``.
+
+    ``taken`` is how many words the mix takes of the document, repeats counted. A row's random number comes from its id, its
+    text and its number among equal rows, so rows without an id and rows that repeat are drawn each by itself.
+    Null and empty texts have size 0 and give nothing; null sources are a source of their own, the last; without any word all targets are 0;
+    an empty table gives none. The result depends on the rows alone. A weight below
+    ``LEAST_QUALITY`` or null counts as that.
+    """
+    return mix_rows(docs.withColumn("row", F.monotonically_increasing_id()), id_col, text_col, source_col, weight).drop("row")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a document's rows are its copies, the last one cut to the words that are left for it.
 
-    Documents that the mix does not take go. Columns stay as they are; ``n_chars`` follows the text.
+    Documents that the mix does not take go. Columns stay as they are, whatever their names; ``n_chars`` follows the text.
     """
-    same_id = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    numbered = docs.withColumn("__n", F.row_number().over(same_id))
-    plan = mix(numbered, "doc_id", "text", "source", None, F.col("__n").alias("n")).where("taken > 0")
+    place = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    rows = staged(docs.toDF(*place.values()).withColumn("row", F.monotonically_increasing_id()))
+    plan = mix_rows(rows, place["doc_id"], place["text"], place["source"], None).where("taken > 0")
     copies = F.array_repeat(F.lit(None).cast("int"), F.floor(F.try_divide("taken", "size")).cast("int"))
     part = F.try_mod("taken", "size").cast("int")
-    plan = plan.select(F.col("id").alias("__id"), F.col("n").alias("__m"), F.explode(F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)).alias("__words"))
-    met = numbered.join(plan, numbered["doc_id"].eqNullSafe(plan["__id"]) & (F.col("__n") == F.col("__m")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.greatest("__words", F.lit(1))), " ")
-    met = met.withColumn("text", F.when(F.col("__words").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+    plan = plan.select("row", F.explode(F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)).alias("words"))
+    text = F.col(place["text"])
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.greatest("words", F.lit(1))), " ")
+    met = rows.join(plan, "row").withColumn(place["text"], F.when(F.col("words").isNull(), text).otherwise(cut))
+    if "n_chars" in place:
+        met = met.withColumn(place["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return met.select(*place.values()).toDF(*docs.columns)
 
 
 OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          greatest(coalesce(CASE WHEN length(text) > 0 THEN length(translate(text, '{MARKS}', ''))::DOUBLE / length(text) END, 0.0), {LEAST_QUALITY}::DOUBLE) AS weight,
-         (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+         coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, '')) AS content
   FROM documents),
-k AS (SELECT *, coalesce('=' || source, '~') AS sk, -ln(u) / weight AS key FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY content, source) - 1 AS copy FROM d),
+r AS (SELECT *, (CAST('0x' || substr(md5('{SEED}:' || content || ':' || CAST(copy AS VARCHAR)), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM n),
+k AS (SELECT *, coalesce('=' || source, '~') AS sk, -ln(u) / weight AS key FROM r),
 s AS (SELECT sk, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY sk COLLATE C) - 1 AS place FROM k GROUP BY sk),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS most FROM s),
 l AS (
