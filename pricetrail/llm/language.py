@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, rows_of, table, text_bytes
@@ -46,7 +46,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Each language's dictionary holds up to ``sample_texts`` stretches of up to
     ``sample_chars`` characters, from texts drawn by a hash of their ids. The driver
-    gets about three times that many stretches per language, whatever the table's size.
+    gets about three times that many stretches per language, at most four times, whatever the table's size.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(9), F.col(id_col).cast("string"), F.length(text_col)).alias("h")
@@ -59,6 +59,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = known.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share)
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int") + 1
     by_lang: dict[str, list] = {}
+    # a drawn id that repeats gives no more rows than this
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    drawn = drawn.withColumn("place", first).where(F.col("place") <= 4 * sample_texts)
     for r in drawn.select("lang", "h", F.substring("text", start, F.lit(sample_chars)).alias("part")).collect():
         by_lang.setdefault(r["lang"], []).append((r["h"], r["part"]))
     order = sorted(by_lang, key=lambda lang: (-totals[lang], lang))

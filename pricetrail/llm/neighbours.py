@@ -20,7 +20,6 @@ BUILD_BEAM, SEARCH_BEAM = 64, 160
 PER_STEP = 4  # nodes of a beam expanded at once
 TOGETHER = 256  # searches run side by side
 QUERY_BLOCK = 4096  # queries that meet a shard at once, about
-MOST_LENGTHS = 1000  # different lengths of vectors
 NONE = -1
 
 
@@ -179,12 +178,10 @@ def classes_of(vectors: DataFrame, id_col: str, vector_col: str, most: int) -> D
 
 def build_index(classes: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM) -> DataFrame:
     """One row per shard: ``dim``, ``shard``, the nodes, their ids, their vectors, the edges and the entry. Every node is in one shard."""
-    lengths = classes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards")).limit(MOST_LENGTHS + 1).collect()
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-    number = F.coalesce(*[F.when(F.col("dim") == r["dim"], F.lit(r["shards"])) for r in lengths], F.lit(1)).cast("long")
+    # n distinct lengths need at least n * (n - 1) / 2 components, so even for 100 TB of vectors this table is small
+    lengths = classes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("long").alias("shards"))
     shards = (
-        classes.withColumn("shards", number)
+        classes.join(F.broadcast(lengths), "dim")
         .groupBy("dim", "shards", F.pmod(F.xxhash64("node"), "shards").alias("shard"))
         .agg(F.sort_array(F.collect_list(F.struct("node", "ids", "v"))).alias("rows"))
         .select("dim", "shards", "shard", F.col("rows.ids").alias("ids"), F.flatten("rows.v").alias("v"))

@@ -137,12 +137,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: the one with the least id, rows without an id last, then by the hashes of text and row.
 
-    Rows are told apart by a hash of all their columns, so rows that share an id or have none are chosen each by its own text.
+    Rows are told apart by a hash of all their columns, so rows that share an id or have none are chosen each by its own text; of rows
+    that are equal in all columns one is kept. Empty and null texts are one group. Columns may have any names.
     """
-    row = F.xxhash64(*[part for c in docs.columns for part in (F.col(c), F.col(c).isNull())])
-    keyed = docs.withColumn("__row", row)
-    groups = simhash_groups(keyed, "__row").select(F.col("id").alias("__row"), "component").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
-    least = keyed.select("__row", order.alias("order")).distinct().join(groups, "__row").groupBy("component").agg(F.min("order").alias("order"))
-    kept = least.select(F.col("order.__row").alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    place = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    row = F.xxhash64(*[part for c in place.values() for part in (F.col(c), F.col(c).isNull())])
+    keyed = docs.toDF(*place.values()).withColumn("row", row)
+    groups = simhash_groups(keyed, "row", place["text"]).select(F.col("id").alias("row"), "component").distinct()
+    doc_id = F.col(place["doc_id"])
+    order = F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), F.xxhash64(place["text"]).alias("hash"), "row")
+    least = keyed.select("row", order.alias("order")).distinct().join(groups, "row").groupBy("component").agg(F.min("order").alias("order"))
+    kept = least.select(F.col("order.row").alias("row"))
+    return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*place.values()).toDF(*docs.columns)

@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Learn from docs (doc_id, text) and labels (doc_id, toxic); toxic if any label of the id is 1.
 
     Confirmed toxic texts and texts taken as unlabelled are drawn by a hash of their ids,
-    about ``positives`` and ``unlabelled`` of them; the class prior is the share of toxic
+    about ``positives`` and ``unlabelled`` of them, at most twice as many rows where drawn ids repeat; the class prior is the share of toxic
     ids among the labelled. Features are kept that are in ``MIN_TEXTS`` toxic texts and
     commoner there by ``MIN_Z`` standard errors; a feature counts by its log ratio.
     Without toxic or unlabelled texts every text scores the prior, 0 if there is none.
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     marked = known.where("toxic = 1").where(share(positives, toxic, 1, "doc_id")).select("doc_id", F.lit(True).alias("positive")).distinct()
     # about `positives` ids: a bound that does not grow with the data
     drawn = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(marked), "doc_id", "left")
-    drawn = drawn.select(F.coalesce("positive", F.lit(False)).alias("positive"), share(unlabelled, total, 2, "doc_id").alias("plain"), "text").where("positive or plain")
+    drawn = drawn.select(F.coalesce("positive", F.lit(False)).alias("positive"), share(unlabelled, total, 2, "doc_id").alias("plain"), F.xxhash64("doc_id", "text").alias("h"), "text").where("positive or plain")
     sample = staged(read_features(drawn))
     n_pos, n_un = sample.agg(F.count_if("positive"), F.count_if("plain")).first()
     if not n_pos or not n_un:
@@ -146,13 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     scale = np.log((kept["p"].to_numpy(float) + 0.5) / n_pos) - np.log((kept["u"].to_numpy(float) + 0.5) / n_un)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pos, plain, features in rows_of(batches, "positive", "plain", "features"):
-            own = pa.array([[place[f] for f in row if f in place] for row in features], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(plain), own], ["positive", "plain", "features"])
+        for batch in batches:
+            own = pa.array([[place[f] for f in row if f in place] for row in batch.column("features").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("plain"), batch.column("h"), own], ["positive", "plain", "h", "features"])
 
-    rows = sample.mapInArrow(pick, "positive boolean, plain boolean, features array<long>")
+    rows = sample.mapInArrow(pick, "positive boolean, plain boolean, h long, features array<long>")
     texts: dict[str, list] = {"positive": [], "plain": []}
-    for r in rows.collect():  # about positives + unlabelled rows
+    # about positives + unlabelled rows, and however often a drawn id repeats no more than twice as many
+    for r in rows.orderBy("h").limit(2 * (positives + unlabelled)).collect():
         own = np.array(sorted(r["features"]), np.int64)
         for kind in texts:
             if r[kind]:

@@ -82,3 +82,9 @@ def test_query_on_table(spark):
     got = neighbours.op1_neighbours(spark, sf).collect()
     assert len(got) == sum(map(len, want.values()))
     assert sum((r["vec_id"] in {j for _, j in want[r["query_id"]]}) for r in got) >= 0.99 * len(got)
+
+
+def test_very_many_lengths(spark):
+    rows = [(10 * d + k, [float(d), float(k + 1)] + [1.0] * d, 0) for d in range(1100) for k in range(2)]
+    found = neighbours.build_index(neighbours.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", 3))
+    assert found.select("dim").distinct().count() == 1100

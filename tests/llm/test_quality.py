@@ -92,3 +92,9 @@ def test_query_on_table(spark):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     tested = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["kept"] == bool(truth[r["doc_id"]]) for r in tested) >= 0.97 * len(tested)
+
+
+def test_rows_without_an_id_draw_each_by_its_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(50)] + [(None, None)], "doc_id long, text string")
+    found = quality.resample(docs, docs, 0.5).collect()
+    assert len({r["key"] for r in found}) == 51 and sum(r["kept"] for r in found) == round(51 * 0.5)
