@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import identifiers, titles, urls
 from ..functions.text import blank_to_null, fold_key, words
 from ..rules import catalog
-from ..sequences import KeyedSequence, fold
+from ..sequences import KeyedSequence
 from .matching import brands_compatible
 
 # How long a compact query must be to count as a whole, and how much of a title's length counts.
@@ -117,9 +116,6 @@ def choose_listings(listings: DataFrame, requests: DataFrame) -> DataFrame:
     return found[0].select(columns).unionByName(found[1].select(columns)).unionByName(found[2].select(columns))
 
 
-_LEARNED = T.StructType([T.StructField("learned", T.StringType()), T.StructField("learned_from", T.StringType())])
-
-
 def running_gtin(references: DataFrame, hits: DataFrame, cut_rows: int | None = None) -> DataFrame:
     """The barcode known for a reference after each of its hits (ref_id, store, decision, gtin, brand, seq): ``learned``, ``learned_from``.
 
@@ -131,15 +127,17 @@ def running_gtin(references: DataFrame, hits: DataFrame, cut_rows: int | None =
     teaches = (F.col("decision") == "auto_match") & brands_compatible(F.col("ref_brand"), identifiers.brand(F.col("brand"))) & F.col("own_gtin").isNull()
     rows = rows.withColumn("seen_gtin", F.when(F.coalesce(teaches, F.lit(False)), identifiers.gtin(F.col("gtin"))))
 
-    def step(known, row):
-        if row.seen_gtin is not None:
-            if known is None:
-                known = [row.seen_gtin, f"auto_match:{row.store}"]
-            elif known[0] != row.seen_gtin:
-                known = None
-        return known, tuple(known or (None, None))
-
-    found = fold(rows, ["ref_id"], ["seq"], step, None, _LEARNED, cut_rows)
+    seen = F.col("seen_gtin")
+    rows = KeyedSequence(rows, ["ref_id"], ["seq"], cut_rows).carry({"gtin_before": seen})
+    again = F.coalesce(seen == F.col("gtin_before"), F.lit(False))
+    # A barcode seen twice running is known whatever came before; after that every other one unlearns or teaches in turn.
+    rows = rows.streak("turns", seen.isNotNull() & ~again, again).carry({"__again": F.when(again, F.lit(True)), "__gtin": seen}, inclusive=True)
+    known = F.col("turns") % 2 == F.when(F.col("__again"), F.lit(0)).otherwise(F.lit(1))
+    rows = rows.with_columns({"__known": known}).carry({"__known_before": F.when(seen.isNotNull(), F.col("__known"))})
+    teaches = seen.isNotNull() & ~F.coalesce("__known_before", F.lit(False))
+    rows = rows.carry({"__from": F.when(teaches, F.concat(F.lit("auto_match:"), F.coalesce("store", F.lit(""))))}, inclusive=True)
+    learned = {"learned": F.when(F.col("__known"), F.col("__gtin")), "learned_from": F.when(F.col("__known"), F.col("__from"))}
+    found = rows.result().withColumns(learned).drop("gtin_before", "turns", "__again", "__gtin", "__known", "__known_before", "__from")
     fixed = F.col("own_gtin").isNotNull()
     return found.withColumns(
         {

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import round_cents
+from ..recurrences import LastAccepted
 from ..schema import RATE, S, struct
 from ..sequences import KeyedSequence, fold
 from ..session import staged
@@ -84,15 +85,8 @@ def accept_in_order(
 
     ``lag`` would compare with the previous row even if that one was refused.
     """
-    def step(state, row):
-        last = Decimal(state) if state is not None else None
-        rate = row.rate
-        jump = bool(last is not None and last > 0 and abs(rate - last) * 100 > last * max_change)
-        accepted = row.sound and not jump
-        return (str(rate) if accepted else state), (last, jump)
-
     basic = rates.withColumn("__basic", rate_errors()).withColumn("sound", F.size("__basic") == 0)
-    rows = fold(basic, RATE_KEY, order, step, None, _ACCEPT_OUT, cut_rows)
+    rows = fold(basic, RATE_KEY, order, LastAccepted(max_change, pa.decimal128(RATE.precision, RATE.scale)), _ACCEPT_OUT, cut_rows)
     sound_jump = F.when(F.col("jump") & (F.col("rate") > 0), F.array(F.lit("jump"))).otherwise(F.array().cast("array<string>"))
     return (
         rows.withColumn("errors", F.concat("__basic", sound_jump))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..recurrences import Claims, RevisitInterval, Spacing, TokenBucket, url_key
 from ..sequences import KeyedSequence, fold
 from .changes import SILENT_FAILURES
 
@@ -364,9 +365,8 @@ def ttl_step(state, row):
 
 def revisit_intervals(visits: DataFrame, cut_rows: int | None = None) -> DataFrame:
     """Revisit interval after each visit (outcome, changed, available), and the next due time."""
-    rows = fold(
-        visits, ["listing_id"], ["scraped_at", "observation_id"], ttl_step, TTL_INITIAL, TTL_OUT, cut_rows
-    )
+    intervals = RevisitInterval(TTL_START, TTL_MIN, TTL_MAX, UNCHANGED_BEFORE_LONGER)
+    rows = fold(visits, ["listing_id"], ["scraped_at", "observation_id"], intervals, TTL_OUT, cut_rows)
     return rows.withColumn("next_scrape_at", plus_seconds(F.col("scraped_at"), F.col("ttl")))
 
 
@@ -421,9 +421,8 @@ def quota_audit(
     requests: DataFrame, limit: int, window_seconds: int, cut_rows: int | None = None
 ) -> DataFrame:
     """Token bucket per identity over a request log: allowed, whole tokens left, retry after."""
-    step, start = quota_step(limit, window_seconds)
     rows = requests.withColumn("at_us", F.unix_micros("at"))
-    return fold(rows, ["identity"], ["at_us", "request_id"], step, start, QUOTA_OUT, cut_rows).drop("at_us")
+    return fold(rows, ["identity"], ["at_us", "request_id"], TokenBucket(limit, window_seconds), QUOTA_OUT, cut_rows).drop("at_us")
 
 
 SPACING_OUT = T.StructType(
@@ -437,16 +436,19 @@ def spacing_step(url_cooldown: float, host_spacing: float):
     The host spacing bounds how many URLs can be in cooldown at a time.
     """
 
+    cooldown, spacing = round(url_cooldown * 1_000_000), round(host_spacing * 1_000_000)
+
     def step(state, row):
         host_ok, urls = state
-        now = row.at_us / 1_000_000
+        now = row.at_us
         urls = {u: t for u, t in urls.items() if t > now}
-        if row.url in urls:
-            return [host_ok, urls], (False, "DUPLICATE_REQUEST", max(1, int(urls[row.url] - now)))
+        url = url_key(row.url)
+        if url in urls:
+            return [host_ok, urls], (False, "DUPLICATE_REQUEST", max(1, (urls[url] - now) // 1_000_000))
         if host_ok is not None and host_ok > now:
-            return [host_ok, urls], (False, "RATE_LIMITED", max(1, int(host_ok - now)))
-        urls[row.url] = now + url_cooldown
-        return [now + host_spacing, urls], (True, None, 0)
+            return [host_ok, urls], (False, "RATE_LIMITED", max(1, (host_ok - now) // 1_000_000))
+        urls[url] = now + cooldown
+        return [now + spacing, urls], (True, None, 0)
 
     return step, [None, {}]
 
@@ -458,9 +460,8 @@ def spacing_audit(
 
     A rejected fetch moves neither gate.
     """
-    step, start = spacing_step(url_cooldown, host_spacing)
     rows = fetches.withColumn("at_us", F.unix_micros("at"))
-    return fold(rows, ["host"], ["at_us", "request_id"], step, start, SPACING_OUT, cut_rows).drop("at_us")
+    return fold(rows, ["host"], ["at_us", "request_id"], Spacing(url_cooldown, host_spacing), SPACING_OUT, cut_rows).drop("at_us")
 
 
 CLAIM_TTL = 3600
@@ -481,9 +482,8 @@ def claim_step(ttl: int = CLAIM_TTL):
 
 def claims(requests: DataFrame, ttl: int = CLAIM_TTL, cut_rows: int | None = None) -> DataFrame:
     """Add ``claimed``: the request is no repeat of its fingerprint within the time-to-live."""
-    step, start = claim_step(ttl)
     rows = requests.withColumn("at_us", F.unix_micros("at"))
-    return fold(rows, ["fingerprint"], ["at_us", "request_id"], step, start, CLAIM_OUT, cut_rows).drop("at_us")
+    return fold(rows, ["fingerprint"], ["at_us", "request_id"], Claims(ttl), CLAIM_OUT, cut_rows).drop("at_us")
 
 
 def store_pauses(

@@ -304,7 +304,23 @@ def quota_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("spacing_audit")
+@query(
+    "spacing_audit",
+    """WITH RECURSIVE q AS (SELECT event_id AS request_id, 'host-' || CAST(user_id % 20 AS VARCHAR) AS host, 'url-' || CAST(user_id AS VARCHAR) AS url, epoch_us(ts) AS tm,
+      row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (
+      SELECT host, 0::BIGINT AS rn, NULL::BIGINT AS request_id, NULL::BIGINT AS gate, []::STRUCT(u VARCHAR, t BIGINT)[] AS cooling, false AS admitted, NULL::VARCHAR AS code, 0::BIGINT AS retry_after
+      FROM (SELECT DISTINCT host FROM q)
+      UNION ALL
+      SELECT host, rn, request_id, CASE WHEN twice OR soon THEN gate ELSE tm + 1800000000 END, CASE WHEN twice OR soon THEN live ELSE list_append(live, {'u': url, 't': tm + 21600000000}) END,
+        NOT (twice OR soon), CASE WHEN twice THEN 'DUPLICATE_REQUEST' WHEN soon THEN 'RATE_LIMITED' END,
+        CASE WHEN twice THEN greatest(1, (list_filter(live, lambda x: x.u = url)[1].t - tm) // 1000000) WHEN soon THEN greatest(1, (gate - tm) // 1000000) ELSE 0 END
+      FROM (SELECT *, len(list_filter(live, lambda x: x.u = url)) > 0 AS twice, coalesce(gate > tm, false) AS soon
+        FROM (SELECT q.host, q.rn, q.request_id, q.url, q.tm, w.gate, list_filter(w.cooling, lambda x: x.t > q.tm) AS live
+          FROM walk w JOIN q ON q.host = w.host AND q.rn = w.rn + 1))
+    )
+    SELECT request_id, host, admitted, code, retry_after FROM walk WHERE rn > 0""",
+)
 def spacing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.spacing_audit(requests(spark, sf_dir), 21600, 1800).select(
         "request_id", "host", "admitted", "code", "retry_after"

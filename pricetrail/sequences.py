@@ -19,10 +19,11 @@ The cut points only decide where the work runs. Results do not depend on them.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,112 +197,168 @@ class KeyedSequence:
         return self.df.drop(SEGMENT, "__hot")
 
 
-State = Any
-Step = Callable[[State, Any], tuple[State, tuple]]
+class Recurrence:
+    """A recurrence that no window expresses, as its new state depends on the previous *decision*.
+
+    ``run`` takes the state before a block of consecutive rows of a key and gives the outputs of all its
+    rows, by array operations, and the state after it. States are JSON values.
+
+    A recurrence that can tell what a whole segment does to *any* state before it also has
+    ``transfer``, which starts an account of a segment (``add`` takes its blocks, ``summary`` gives a JSON value), and
+    ``apply``, which gives the state after the segment, or ``UNKNOWN``.
+    """
+
+    #: The columns that ``run`` reads.
+    reads: tuple[str, ...] = ()
+    initial: Any = None
+
+    def run(self, state: Any, block: pa.RecordBatch) -> tuple[Any, list[pa.Array]]:
+        raise NotImplementedError
+
+    def transfer(self) -> Any:
+        return None
+
+    def apply(self, summary: Any, state: Any) -> Any:
+        return UNKNOWN
+
+
+UNKNOWN = object()
+
+
+def key_blocks(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch, bool]]:
+    """The stretches of equal keys in sorted batches: the key, whether it is new, the rows, and whether they end their batch."""
+    current: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(new)
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(batch.column(k)[int(start)].as_py() for k in keys)
+            yield key, key != current, batch.slice(start, end - start), end == batch.num_rows
+            current = key
 
 
 def fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Step,
-    initial: State,
+    recurrence: Recurrence,
     outputs: T.StructType,
     cut_rows: int | None = None,
 ) -> DataFrame:
     """Run a recurrence along each key and add its outputs to every row.
 
-    ``step(state, row) -> (state, output values)`` is for recurrences that no
-    window expresses, where the new state depends on the previous *decision*
-    (a rate limiter, a revisit interval, "the last accepted rate"). Rows stream
-    through in order and only the small JSON state is held, never a group.
-
-    Segments of cut keys run in parallel from an assumed entry state. The end
-    states (one small row per segment) are compared with what the next segment
-    assumed, and only the segments that assumed wrongly run again, until all
-    agree. The result is exact; recurrences that forget their start, as the
-    ones here do, settle after a few rounds.
+    Rows stream through in order, a block at a time, and only the small JSON state is held, never a group.
+    Where keys are cut, one job sums up every segment of theirs by its transfer function; the states before
+    the segments follow by applying these one after the other, a step per segment.
+    Keys with a segment whose transfer does not tell the answer are walked in order once more,
+    by the columns that the recurrence reads, in one further job. A last job gives all rows,
+    segments side by side. So the number of jobs does not depend on how many segments there are,
+    and the result is exact.
     """
     sequence = KeyedSequence(df, keys, order, cut_rows)
     columns = [f.name for f in df.schema.fields]
-    start = json.dumps(initial)
-
-    def arranged(frame: DataFrame) -> DataFrame:
-        return frame.repartition(*keys, SEGMENT).sortWithinPartitions(*keys, SEGMENT, *order)
-
-    def walk(batches: Iterator[pd.DataFrame], emit_rows: bool):
-        """Step through sorted batches; yields (key, segment, state) ends or output rows."""
-        current: tuple | None = None
-        state: State = None
-        for pdf in batches:
-            ends, made = [], []
-            key_rows = list(zip(*[pdf[k] for k in keys], pdf[SEGMENT], strict=True))
-            entries = pdf["__enter"]
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                at = key_rows[i]
-                if at != current:
-                    if current is not None and not emit_rows:
-                        ends.append((*current, json.dumps(state)))
-                    current = at
-                    state = json.loads(entries.iat[i])
-                state, out = step(state, row)
-                made.append(out)
-            if emit_rows:
-                yield pdf, made
-            elif ends:
-                yield None, ends
-        if current is not None and not emit_rows:
-            yield None, [(*current, json.dumps(state))]
-
-    out_names = [f.name for f in outputs.fields]
+    names = [f.name for f in outputs.fields]
+    start = json.dumps(recurrence.initial)
     row_schema = T.StructType([*df.schema.fields, *outputs.fields])
-    key_fields = [df.schema[k] for k in keys]
-    end_schema = T.StructType(
-        [*key_fields, T.StructField(SEGMENT, T.IntegerType()), T.StructField("__end", T.StringType())]
-    )
-
-    def rows_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, made in walk(batches, True):
-            extra = pd.DataFrame(made, columns=out_names, index=pdf.index, dtype=object)
-            yield pd.concat([pdf[columns], extra], axis=1)
 
-    def ends_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, ends in walk(batches, False):
-            yield pd.DataFrame(ends, columns=[*keys, SEGMENT, "__end"])
+    def arranged(frame: DataFrame, dealt: Sequence[str]) -> DataFrame:
+        return frame.repartition(*dealt).sortWithinPartitions(*keys, SEGMENT, *order)
+
+    def rows_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, own, made = None, [], []
+        for _, new, block, last in key_blocks(batches, [*keys, SEGMENT]):
+            if new:
+                state = json.loads(block.column("__enter")[0].as_py())
+            state, out = recurrence.run(state, block)
+            own.append(block.select(columns))
+            made.append(out)
+            if last:
+                rows = pa.Table.from_batches(own).combine_chunks()
+                added = [pa.concat_arrays([m[k] for m in made]) for k in range(len(names))]
+                kept = [rows.column(c).chunk(0) if rows.column(c).num_chunks else pa.array([], rows.schema.field(c).type) for c in columns]
+                yield pa.RecordBatch.from_arrays([*kept, *added], [*columns, *names])
+                own, made = [], []
 
     base = sequence.df
     if not sequence.cut:
-        ready = arranged(base.withColumn("__enter", F.lit(start)))
-        return ready.mapInPandas(rows_out, row_schema)
+        return arranged(base.withColumn("__enter", F.lit(start)), [*keys, SEGMENT]).mapInArrow(rows_out, row_schema)
 
     spark = df.sparkSession
-    base = staged(base)  # read again in every round
-    enter_schema = T.StructType(
-        [*key_fields, T.StructField(SEGMENT, T.IntegerType()), T.StructField("__enter", T.StringType())]
-    )
-    hot = base.where("__hot")
-    segments = [tuple(r) for r in hot.select(*keys, SEGMENT).distinct().collect()]
-    segments.sort(key=lambda s: s[-1])
-    following: dict[tuple, list[int]] = {}
-    for s in segments:
-        following.setdefault(s[:-1], []).append(s[-1])
-    assumed = {s: start for s in segments}
-    ended: dict[tuple, str] = {}
-    pending = list(segments)
-    while pending:
-        entries = spark.createDataFrame([(*s, assumed[s]) for s in pending], enter_schema)
-        part = hot.join(F.broadcast(entries), [*keys, SEGMENT])
-        for row in arranged(part).mapInPandas(ends_out, end_schema).collect():
-            ended[tuple(row)[:-1]] = row["__end"]
-        pending = []
-        for key, numbers in following.items():
-            for previous, number in zip(numbers, numbers[1:], strict=False):
-                s = (*key, number)
-                if assumed[s] != ended[(*key, previous)]:
-                    assumed[s] = ended[(*key, previous)]
-                    pending.append(s)
-    entries = spark.createDataFrame([(*s, assumed[s]) for s in segments], enter_schema)
-    ready = base.join(F.broadcast(entries), [*keys, SEGMENT], "left").withColumn(
-        "__enter", F.coalesce(F.col("__enter"), F.lit(start))
-    )
-    return arranged(ready).mapInPandas(rows_out, row_schema)
+    base = staged(base)
+    field = lambda name, kind=T.StringType(): T.StructField(name, kind)
+    key_fields = [*[df.schema[k] for k in keys], field(SEGMENT, T.IntegerType())]
+    narrow = list(dict.fromkeys([*keys, SEGMENT, *order, *recurrence.reads]))
+    hot = base.where("__hot").select(*narrow)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per segment what it makes of the initial state, and its transfer."""
+        held: list[tuple] = []
+        kinds: list[pa.DataType] = []
+        state = account = None
+        for key, new, block, _ in key_blocks(batches, [*keys, SEGMENT]):
+            kinds = [block.schema.field(k).type for k in keys]
+            if new:
+                state, account = recurrence.initial, recurrence.transfer()
+                held.append(None)
+            state, _ = recurrence.run(state, block)
+            if account is not None:
+                account.add(block)
+            held[-1] = (*key, json.dumps(state), None if account is None else json.dumps(account.summary()))
+        yield from ends_batch(held, kinds)
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments of a key one after the other, from a known state before the first."""
+        held: list[tuple] = []
+        kinds: list[pa.DataType] = []
+        current = state = None
+        for key, new, block, _ in key_blocks(batches, [*keys, SEGMENT]):
+            kinds = [block.schema.field(k).type for k in keys]
+            if new and key[:-1] != current:
+                current, state = key[:-1], json.loads(block.column("__enter")[0].as_py())
+            state, _ = recurrence.run(state, block)
+            if new:
+                held.append(None)
+            held[-1] = (*key, json.dumps(state), None)
+        yield from ends_batch(held, kinds)
+
+    def ends_batch(held: list[tuple], key_types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        if held:
+            kinds = [*key_types, pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], [*keys, SEGMENT, "__end", "__transfer"])
+
+    end_schema = T.StructType([*key_fields, field("__end"), field("__transfer")])
+    found = [tuple(r) for r in arranged(hot, [*keys, SEGMENT]).mapInArrow(summaries, end_schema).collect()]  # a row for each segment
+    of_key: dict[tuple, list[tuple]] = {}
+    for *key, segment, end, own in found:
+        of_key.setdefault(tuple(key), []).append((segment, end, own))
+    entering: dict[tuple, Any] = {}
+    unsettled: dict[tuple, int] = {}
+    for key, segments in of_key.items():
+        segments.sort()
+        state: Any = recurrence.initial
+        for place, (segment, end, own) in enumerate(segments):
+            entering[*key, segment] = state
+            after = json.loads(end) if not place or state == recurrence.initial else UNKNOWN if own is None else recurrence.apply(json.loads(own), state)
+            if after is UNKNOWN:
+                unsettled[key] = segment
+                break
+            state = after
+    if unsettled:
+        begin = spark.createDataFrame([(*key, segment, json.dumps(entering[*key, segment])) for key, segment in unsettled.items()], T.StructType([*key_fields[:-1], field("__from", T.IntegerType()), field("__enter")]))
+        part = hot.join(F.broadcast(begin), list(keys)).where(F.col(SEGMENT) >= F.col("__from")).drop("__from")
+        ends = [tuple(r) for r in arranged(part, keys).mapInArrow(walked, end_schema).collect()]
+        after_of = {(*key, segment): json.loads(end) for *key, segment, end, _ in ends}
+        for key in unsettled:
+            numbers = [segment for segment, *_ in of_key[key]]
+            for before, segment in zip(numbers, numbers[1:], strict=False):
+                if (*key, before) in after_of:
+                    entering[*key, segment] = after_of[*key, before]
+    entries = spark.createDataFrame([(*s, json.dumps(state)) for s, state in entering.items()], T.StructType([*key_fields, field("__enter")]))
+    ready = base.join(F.broadcast(entries), [*keys, SEGMENT], "left").withColumn("__enter", F.coalesce(F.col("__enter"), F.lit(start)))
+    return arranged(ready, [*keys, SEGMENT]).mapInArrow(rows_out, row_schema)
