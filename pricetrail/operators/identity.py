@@ -95,6 +95,35 @@ def build_identities(items: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])
 
 
+#: What an identity is read from, and what an offer adds to it.
+DESCRIPTION_TEXTS = ("title", "brand", "model", "variant", "gtin", "sku", "category")
+DESCRIPTION_MAPS = ("specifications", "metadata")
+OFFER_COLUMNS = ("store", "product_id", "price", "currency")
+
+
+def with_description(items: DataFrame) -> DataFrame:
+    """Adds ``description_id``, the SHA-256 of all that an identity is read from."""
+    rows = _complete(items)
+    entries = [F.array_sort(F.map_entries(c)).alias(c) for c in DESCRIPTION_MAPS]
+    return rows.withColumn("description_id", F.sha2(F.to_json(F.struct(*DESCRIPTION_TEXTS, *entries), {"ignoreNullFields": "false"}), 256))
+
+
+def describe(*items: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The identities of the distinct descriptions in all item tables (``description_id``, no offer columns), and each table's own columns that are no part of a description, with the id.
+
+    A text that very many offers share is parsed once: descriptions combine before the shuffle.
+    """
+    rows = [with_description(frame) for frame in items]
+    own = [[*[c for c in frame.columns if c not in (*DESCRIPTION_TEXTS, *DESCRIPTION_MAPS)], *[c for c in OFFER_COLUMNS if c not in frame.columns], "description_id"] for frame in items]
+    entries = [F.array_sort(F.map_entries(c)).alias(c) for c in DESCRIPTION_MAPS]
+    texts = [frame.select("description_id", *DESCRIPTION_TEXTS, *entries) for frame in rows]
+    distinct = texts[0]
+    for more in texts[1:]:
+        distinct = distinct.unionByName(more)
+    distinct = distinct.distinct().withColumns({c: F.map_from_entries(c) for c in DESCRIPTION_MAPS})
+    return staged(build_identities(distinct).drop(*OFFER_COLUMNS)), [frame.select(*columns) for frame, columns in zip(rows, own, strict=True)]
+
+
 def build_sides(refs: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Identities of references and candidates, built in one pass and staged once.
 

@@ -13,7 +13,7 @@ from ..functions.vectors import cosine
 from ..rules import catalog
 from ..schema import CONFIDENCE, REASON, SCORE
 from ..session import staged
-from .identity import IDENTITY_COLUMNS, identity_struct
+from .identity import IDENTITY_COLUMNS, OFFER_COLUMNS, describe
 
 # Decision thresholds and weights.
 AUTO, REVIEW = "0.92", "0.75"
@@ -157,9 +157,12 @@ def _score(decision: Column | str, confidence: Column, reasons: Column) -> Colum
     return F.struct(d.alias("decision"), confidence.cast(CONFIDENCE).alias("confidence"), reasons.alias("reasons")).cast(SCORE)
 
 
-def score_pairs(pairs: DataFrame, ref: str = "ref", cand: str = "cand") -> DataFrame:
+def score_pairs(pairs: DataFrame, ref: str = "ref", cand: str = "cand", prices_apart: Column | None = None, same_offer: Column | None = None) -> DataFrame:
     """Add ``score`` STRUCT(decision, confidence, reasons) to rows with two identity structs.
 
+    The two facts that come from the offers rather than their descriptions, extreme prices and an equal store id, are
+    taken from the structs unless they are given.
+
     Facts about the pair are computed in one projection and the decision order
     is a single CASE over them. A rule's facts are compared, never re-parsed:
     all text work was done once per identity.
@@ -181,7 +184,8 @@ def score_pairs(pairs: DataFrame, ref: str = "ref", cand: str = "cand") -> DataF
             "__brands": r["brand"].isNotNull() & c["brand"].isNotNull(),
             "__compatible": brands_compatible(r["brand"], c["brand"]),
             "__sim": titles.similarity(r["tokens"], c["tokens"]),
-            "__price": price_extreme(r["price"], c["price"], r["currency"], c["currency"]),
+            "__price": price_extreme(r["price"], c["price"], r["currency"], c["currency"]) if prices_apart is None else prices_apart,
+            "__offer": (r["store"] == c["store"]) & (r["product_id"] == c["product_id"]) if same_offer is None else same_offer,
             "__carrier": _at(r, "network_lock").isNull() & F.coalesce(_at(c, "network_lock") == "locked", F.lit(False)),
             "__mpn": F.array_min(F.array_intersect(r["mpns"], c["mpns"])),
             "__number": F.array_min(F.array_intersect(r["model_numbers"], c["model_numbers"])),
@@ -227,7 +231,6 @@ def _decide(r: Column, c: Column) -> Column:
         return chain.otherwise(_score("auto_match", number(confidence), also(found)))
 
     gtin = r["gtin"].isNotNull() & (r["gtin"] == c["gtin"])
-    same_offer = (r["store"] == c["store"]) & (r["product_id"] == c["product_id"])
     with_carrier = lambda f: [(flag("__carrier"), _score("review", number("0.88"), also(f, carrier)))]
     number_found = _reason("model_number_exact", F.concat(F.lit("model_number="), flag("__number")), 1)
 
@@ -297,7 +300,7 @@ def _decide(r: Column, c: Column) -> Column:
             exact("monitor_model_code_exact", F.concat(F.lit("model_code="), r["monitor_code"]),
                   "monitor_model_code_brand_conflict", "model_code_match_but_brand_diverges", "0.99"),
         )
-        .when(same_offer, _score("auto_match", number("1"), also(_reason("same_store_product_id", "identical_store_local_id", 1))))
+        .when(flag("__offer"), _score("auto_match", number("1"), also(_reason("same_store_product_id", "identical_store_local_id", 1))))
         .when(
             gtin,
             exact("gtin_exact", F.concat(F.lit("gtin="), r["gtin"]), "gtin_brand_conflict", "gtin_match_but_brand_diverges", "0.99", with_carrier),
@@ -358,7 +361,7 @@ def blocking_keys(identities: DataFrame, id_column: str) -> DataFrame:
         F.array_compact(
             F.array(
                 one("gtin", F.col("gtin")),
-                one("offer", joined(F.col("store"), F.col("product_id"))),
+                *([one("offer", joined(F.col("store"), F.col("product_id")))] if "store" in identities.columns else []),
                 one("monitor", F.lower("monitor_code")),
                 one("model", joined(F.col("brand"), F.col("model_key"))),
             )
@@ -369,25 +372,32 @@ def blocking_keys(identities: DataFrame, id_column: str) -> DataFrame:
     return identities.select(F.col(id_column), F.explode(keys).alias("k")).select(id_column, "k.kind", "k.key")
 
 
-def distinct_identities(identities: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
-    """Collapse rows that read the same: (one row per identity with ``identity_id``, id -> identity_id).
+TILE = 2048  # rows of a block that meet as many of the other side in one piece of work
+
+
+def tiled(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tile: int = TILE) -> DataFrame:
+    """All (left row, right row) with equal keys, as an equi join in which no piece of work has more than about ``tile`` rows of a side.
 
-    Copies of one listing, however many, are compared once. The representative
-    is picked by an aggregate, so a hot identity combines before the shuffle.
+    The sides of a block of n and m rows are cut into ceil(n / tile) and ceil(m / tile) tiles by a hash of ``a`` and ``b``. A
+    row goes once to each tile of the other side, so each pair of tiles meets once, somewhere of its own; smaller
+    blocks are one tile a side and cost an equi join. Only blocks that both sides have are read any further.
     """
-    compared = F.struct(*[F.col(c) for c in IDENTITY_COLUMNS if c not in ("variant_attrs", "gates", "category_attrs", "title", "store", "product_id")])
-    maps = [F.array_sort(F.map_entries(c)) for c in ("variant_attrs", "category_attrs")]
-    # rows with an own store id can match by that id, so it stays part of the identity
-    key = F.sha2(F.to_json(F.struct(compared, *maps, F.col("store"), F.col("product_id"))), 256)
-    keyed = identities.withColumn("identity_id", key)
-    unique = keyed.groupBy("identity_id").agg(F.first(identity_struct()).alias("identity"))
-    return unique.select("identity_id", "identity.*"), keyed.select(id_column, "identity_id")
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("__n")).join(right.groupBy(*keys).agg(F.count("*").alias("__m")), keys)
+    tiles = lambda n: F.ceil(F.col(n) / F.lit(tile)).cast("int")
+    sizes = staged(sizes.select(*keys, tiles("__n").alias("__i_all"), tiles("__m").alias("__j_all")))
+
+    def side(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(by), F.col(f"{own}_all")).cast("int")
+        # the sizes have one row for each key, so that a hot block is split here as any skewed join is
+        return rows.join(sizes, keys).withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_all") - 1))).drop("__i_all", "__j_all")
+
+    return side(left, a, "__i", "__j").join(side(right, b, "__j", "__i"), [*keys, "__i", "__j"]).drop("__i", "__j")
 
 
 def candidate_pairs(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id") -> DataFrame:
-    """Distinct (ref_id, cand_id) that share a blocking key. Equi joins only."""
+    """Distinct (ref_id, cand_id) that share a blocking key. Equi joins only, hot blocks in tiles."""
     left, right = blocking_keys(refs, ref_id), blocking_keys(cands, cand_id)
-    return left.join(right, ["kind", "key"]).select(ref_id, cand_id).dropDuplicates([ref_id, cand_id])
+    return tiled(left, right, ["kind", "key"], ref_id, cand_id).select(ref_id, cand_id).dropDuplicates([ref_id, cand_id])
 
 
 def block_report(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id") -> DataFrame:
@@ -397,21 +407,59 @@ def block_report(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand
     return left.join(right, ["kind", "key"]).withColumn("pairs", F.col("refs") * F.col("cands"))
 
 
-def match(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id") -> DataFrame:
-    """Score every candidate against the references it shares a key with.
+#: Facts of a description that reject a pair for certain where both sides know them and differ: all gates but colour, whose names may agree.
+PLAIN_GATES = tuple(k for k in GATES if k != "color")
+
+
+def gate_facts() -> Column:
+    """The plain gates and the monitor's code as hashes, 0 where unknown: enough to turn most pairs of a block away before anything wide is joined."""
+    known = [F.col("gates")[k] for k in PLAIN_GATES] + [F.lower("monitor_code")]
+    return F.array(*[F.when(v.isNull(), F.lit(0)).otherwise(F.hash(v)) for v in known])
+
+
+def surely_rejected(a: Column, b: Column) -> Column:
+    """By ``gate_facts`` of both sides: different codes, or a gate in conflict without equal codes. Equal hashes keep a pair, so none is lost."""
+    differ = lambda k: (F.get(a, F.lit(k)) != 0) & (F.get(b, F.lit(k)) != 0) & (F.get(a, F.lit(k)) != F.get(b, F.lit(k)))
+    code = len(PLAIN_GATES)
+    same_code = (F.get(a, F.lit(code)) != 0) & (F.get(a, F.lit(code)) == F.get(b, F.lit(code)))
+    return differ(code) | (~same_code & reduce(lambda x, y: x | y, [differ(k) for k in range(code)]))
+
+
+def match(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id", rejects: bool = True) -> DataFrame:
+    """Score every candidate against the references it shares a key with: ``ref_id``, ``cand_id``, ``score``.
 
-    References and candidates are identity rows, best staged, as several steps
-    read them. Equal candidates are scored once and the result is joined back to
-    each of them.
+    References and candidates are item tables. Their descriptions are parsed once each, however many offers share one;
+    descriptions meet by blocking keys, hot blocks in tiles, and each pair of descriptions is scored once, at most
+    once more for offers whose prices are far apart. Offers with an equal store id meet by that id. Without
+    ``rejects`` pairs that a few hashed facts reject go before the identities are joined, and no rejected pair comes out.
     """
-    unique, members = distinct_identities(cands, cand_id)
-    unique = staged(unique)
-    pairs = candidate_pairs(refs, unique, ref_id, "identity_id")
-    left = refs.select(F.col(ref_id), identity_struct().alias("ref"))
-    right = unique.select("identity_id", identity_struct().alias("cand"))
+    identities, (left, right) = describe(refs, cands)
+    left = staged(left.select(F.col(ref_id), F.col("description_id").alias("rd"), *[F.col(c).alias(f"r_{c}") for c in OFFER_COLUMNS]))
+    right = staged(right.select(F.col(cand_id), F.col("description_id").alias("cd"), *[F.col(c).alias(f"c_{c}") for c in OFFER_COLUMNS]))
+    priced = lambda rows, d, price: rows.groupBy(d).agg(F.max(F.col(price) > 0).alias(f"{d}_priced"))
+    sides = identities.withColumn("facts", gate_facts())
+    one = sides.join(priced(left, "rd", "r_price"), identities["description_id"] == F.col("rd"))
+    two = sides.join(priced(right, "cd", "c_price"), identities["description_id"] == F.col("cd"))
+    pairs = staged(candidate_pairs(one, two, "rd", "cd"))
+    narrow = pairs.join(one.select("rd", "rd_priced", F.col("facts").alias("a")), "rd").join(two.select("cd", "cd_priced", F.col("facts").alias("b")), "cd")
+    if not rejects:
+        narrow = narrow.where(~surely_rejected(F.col("a"), F.col("b")))
+    both = F.coalesce(F.col("rd_priced") & F.col("cd_priced"), F.lit(False))
+    asked = narrow.select("rd", "cd", F.explode(F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("apart"), F.lit(False).alias("offer"))
+    same_id = [F.col(f"r_{c}") == F.col(f"c_{c}") for c in ("store", "product_id")]
+    offers = staged(left.join(right, same_id[0] & same_id[1]).select(ref_id, cand_id, "rd", "cd"))
+    asked = asked.unionByName(offers.select("rd", "cd", F.lit(False).alias("apart"), F.lit(True).alias("offer")).distinct())
+    struct = F.struct(*[F.col(c) for c in IDENTITY_COLUMNS if c not in OFFER_COLUMNS])
+    wide = asked.join(identities.select(F.col("description_id").alias("rd"), struct.alias("ref")), "rd").join(identities.select(F.col("description_id").alias("cd"), struct.alias("cand")), "cd")
     # staged before any filter: pushing one into the decision rules would repeat them
-    scored = staged(score_pairs(pairs.join(left, ref_id).join(right, "identity_id")).select(ref_id, "identity_id", "score"))
-    return scored.join(members, "identity_id").select(ref_id, cand_id, "score")
+    scored = staged(score_pairs(wide, prices_apart=F.col("apart"), same_offer=F.col("offer")).select("rd", "cd", "apart", "offer", "score"))
+    if not rejects:
+        scored = scored.where("score.decision <> 'reject'")
+    by_text = scored.where("not offer").drop("offer").join(left, "rd").join(right, "cd")
+    by_text = by_text.where(F.col("apart") == price_extreme(F.col("r_price"), F.col("c_price"), F.col("r_currency"), F.col("c_currency")))
+    by_text = by_text.where(~F.coalesce(same_id[0] & same_id[1], F.lit(False))).select(ref_id, cand_id, "score")
+    by_offer = scored.where("offer").join(offers, ["rd", "cd"]).select(ref_id, cand_id, "score")
+    return by_text.unionByName(by_offer)
 
 
 # --- best picks -------------------------------------------------------------------------------

@@ -94,8 +94,9 @@ def phone_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return identity.build_sides(phone_products(spark, sf_dir).drop("n", "gb", "c"), phone_offers(spark, sf_dir).drop("n", "gb", "c", "kind"))
 
 
-def phone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match(*phone_sides(spark, sf_dir)).select("ref_id", "cand_id", "score.*")
+def phone_scores(spark: SparkSession, sf_dir: str, rejects: bool = True) -> DataFrame:
+    offers = phone_offers(spark, sf_dir).drop("n", "gb", "c", "kind")
+    return matching.match(phone_products(spark, sf_dir).drop("n", "gb", "c"), offers, rejects=rejects).select("ref_id", "cand_id", "score.*")
 
 
 @query("er_candidates", "WITH " + PHONES_SQL + " SELECT ref_id, cand_id FROM scored")
@@ -127,7 +128,7 @@ def er_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + PHONES_SQL + """ SELECT ref_id, store, min(cand_id) AS cand_id, CAST(0.92 AS DECIMAL(5,4)) AS confidence FROM scored WHERE decision = 'auto_match' GROUP BY ALL""",
 )
 def er_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = phone_scores(spark, sf_dir).where("decision <> 'reject'")
+    scores = phone_scores(spark, sf_dir, rejects=False)
     offers = phone_offers(spark, sf_dir).select("cand_id", "store")
     hits = scores.join(offers, "cand_id").select("ref_id", "store", "cand_id", "confidence", F.col("cand_id").alias("seq"))
     return matching.best_per_store(hits).select("ref_id", "store", "cand_id", "confidence")
@@ -139,7 +140,7 @@ def er_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM scored WHERE decision = 'auto_match'""",
 )
 def er_best_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = phone_scores(spark, sf_dir).withColumn("same_store", F.col("cand_id") % 10 == 0)
+    scores = phone_scores(spark, sf_dir, rejects=False).withColumn("same_store", F.col("cand_id") % 10 == 0)
     return matching.best_product(scores.drop("reasons")).select("cand_id", "ref_id", "decision", "confidence")
 
 
