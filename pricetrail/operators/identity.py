@@ -17,6 +17,7 @@ from ..session import staged
 TEXT_COLUMNS = ("title", "brand", "model", "variant", "gtin", "sku", "store", "product_id", "currency", "category")
 EXTRA_KEYS = ("color", "storage", "size", "capacity", "ram", "vram", "edition", "network_lock")
 MONITOR_SPECS = ("screen_size", "resolution", "refresh_rate", "panel")
+SPECIAL = ("cooler", "psu", "monitor")  # categories whose own attributes are compared
 COOLER_WORDS = ("water", "cooler", "liquid", "liquido", "air", "cpu", "aio", "refrigeracion")
 PSU_WORDS = ("fonte", "psu", "power supply")
 NOT_BRANDS = ("iphone", "galaxy", "smartphone")
@@ -207,13 +208,13 @@ def _from_sheet(wanted: Sequence[str]) -> Column:
 
 def _with_category(rows: DataFrame) -> DataFrame:
     """Category attributes of coolers, power supplies and monitors, and the monitor's model code."""
-    by_title = title_attributes.title_attributes(F.col("title"), F.col("__category"))
-    special = F.col("__category").isin("cooler", "psu", "monitor")
+    wanted = ("cooler_type", "radiator_size", "fan_count", "wattage", "efficiency", "modularity", "form_factor", "fan_size", *MONITOR_SPECS)
+    by_title = title_attributes.rule_attributes(F.col("title"), F.col("__category"), wanted, SPECIAL)
+    special = F.col("__category").isin(*SPECIAL)
     sheet = F.transform(
         F.map_entries("specifications"), lambda e: F.struct(squash(fold_key(e["key"])).alias("label"), e["value"].alias("value"))
     )
     rows = rows.withColumns({"__ta": F.when(special, by_title), "__special": special, "__sheet": sheet})
-    wanted = ("cooler_type", "radiator_size", "fan_count", "wattage", "efficiency", "modularity", "form_factor", "fan_size", *MONITOR_SPECS)
     # a sheet's value comes before the title's
     rows = rows.withColumn("__a", F.when(F.col("__special"), F.map_concat("__ta", _from_sheet(wanted))))
     value = lambda k: _get("__a", k)
