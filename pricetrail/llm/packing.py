@@ -25,7 +25,8 @@ POOL = 1024  # pieces a task chooses from at once
 POOL_TOKENS = 1 << 20  # tokens that wait in the pool, but for its last piece
 OUT_BYTES = 4 << 20  # ids in a batch of results, about
 EMPTY = float(1 << 60)
-KNOWN_BYTES = 40 << 20  # memory for the words that a task remembers
+KNOWN_BYTES = 100 << 20  # memory for the words that a task remembers
+STAGE_BYTES = 24 << 20  # the same in the pipeline, whose workers also hold what earlier stages have left
 WORD_BYTES = 200  # of that, what a word takes besides its letters and ids
 READ_BYTES = 1 << 20  # text that is split into words at once
 SCHEMA = "id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
@@ -46,15 +47,16 @@ class Encoder(dict):
     than the way through normalising and splitting that any other word takes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         from tokenizers import Tokenizer
 
+        self.most = known_bytes
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path}: special tokens that are more than their string are not supported")
         self.special = {t.content.encode(): struct.pack("<I", i) for i, t in added.items()}
-        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if added else None
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")")
         # words come lower-cased, when "<|END|>" looks like "<|end|>": only the raw text can tell
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
@@ -87,10 +89,10 @@ class Encoder(dict):
     def ids(self, text: bytes) -> bytes:
         out = []
         for part in slices(text, READ_BYTES):
-            if self.held > KNOWN_BYTES:
+            if self.held > self.most:
                 self.forget()
             # a special token holds no white space, so no slice cuts one
-            for piece in self.cuts.split(part) if self.cuts else [part]:
+            for piece in self.cuts.split(part) if any(token in part for token in self.special) else (part,):
                 if piece in self.special:
                     out.append(self.special[piece])
                 else:
@@ -99,10 +101,10 @@ class Encoder(dict):
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, known_bytes: int) -> Encoder:
     """One for all tasks of a worker, so that words are learnt once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-    return Encoder(path)
+    return Encoder(path, known_bytes)
 
 
 @dataclass
@@ -204,7 +206,7 @@ def without_padding(sequence: list[Piece], tokens: int) -> Iterator[list[Piece]]
         yield out
 
 
-def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL) -> DataFrame:
+def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """Tokenise and pack items: columns ``id``, ``texts`` (array of binary) and ``loss`` (array of boolean).
 
     An item's ids are those of its texts one after the other, then ``end``; a text's
@@ -218,7 +220,7 @@ def pack(items: DataFrame, path: str, end: int = END, tokens: int = TOKENS, segm
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, packer = encoder(path).ids, Packer(tokens, segments, loss, pool)
+        read, packer = encoder(path, known_bytes).ids, Packer(tokens, segments, loss, pool)
         number = TaskContext.get().partitionId() << 40
 
         def rows(sequences: Iterator[list[Piece]]) -> Iterator[tuple]:
@@ -281,4 +283,4 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what the stages before have kept; a row per piece with its ids."""
-    return pack(as_items(docs), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
+    return pack(as_items(docs), public_tokenizers.path(TOKENIZER), known_bytes=STAGE_BYTES).withColumnRenamed("id", "doc_id")

@@ -30,9 +30,8 @@ def texts():
 
 
 def test_ids_are_the_tokenizers(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN_BYTES", 6000)
     monkeypatch.setattr(packing, "READ_BYTES", 5000)
-    encoder = packing.Encoder(PATH)
+    encoder = packing.Encoder(PATH, 6000)
     for text in texts():
         text = text or ""
         assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
