@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,8 +66,27 @@ def build_identities(items: DataFrame) -> DataFrame:
     parsed once and used by all later rules.
     """
     rows = _complete(items)
+    for columns in identity_steps(id(items.sparkSession.sparkContext)):
+        rows = rows.withColumns(columns)
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+class Steps(list):
+    """Takes the projections of a function that adds columns to rows, without any rows."""
+
+    def withColumns(self, columns: dict[str, Column]) -> Steps:  # noqa: N802 - as DataFrame has it
+        self.append(columns)
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Steps:  # noqa: N802
+        return self.withColumns({name: column})
+
+
+@functools.lru_cache(maxsize=1)
+def identity_steps(_context: int) -> Steps:
+    """The projections that make an identity. They mention columns by name only, and take long to build, so a session builds them once."""
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    rows = rows.withColumns(
+    rows = Steps().withColumns(
         {
             "specifications": F.coalesce("specifications", empty),
             "metadata": F.coalesce("metadata", empty),
@@ -88,12 +108,7 @@ def build_identities(items: DataFrame) -> DataFrame:
             ),
         }
     )
-    rows = _with_variants(rows)
-    rows = _with_category(rows)
-    rows = _with_codes(rows)
-    rows = _with_brand(rows)
-    rows = _with_signatures(rows)
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return _with_signatures(_with_brand(_with_codes(_with_category(_with_variants(rows)))))
 
 
 #: What an identity is read from, and what an offer adds to it.
@@ -136,7 +151,7 @@ def build_sides(refs: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame
     return built.where("side = 'ref'").drop("side"), built.where("side = 'cand'").drop("side")
 
 
-def _with_variants(rows: DataFrame) -> DataFrame:
+def _with_variants(rows: Steps) -> Steps:
     """Gate attributes: variant text, specifications, metadata, then the title (first writer stays)."""
     variant = F.nullif(F.trim("variant"), F.lit(""))
     plain = F.when(~variant.contains(":") & ~among(squash(fold_key(variant)), catalog.WIFI_LABELS), variant)
@@ -206,7 +221,7 @@ def _from_sheet(wanted: Sequence[str]) -> Column:
     return F.map_from_entries(F.filter(cleaned, lambda e: e["value"].isNotNull()))
 
 
-def _with_category(rows: DataFrame) -> DataFrame:
+def _with_category(rows: Steps) -> Steps:
     """Category attributes of coolers, power supplies and monitors, and the monitor's model code."""
     wanted = ("cooler_type", "radiator_size", "fan_count", "wattage", "efficiency", "modularity", "form_factor", "fan_size", *MONITOR_SPECS)
     by_title = title_attributes.rule_attributes(F.col("title"), F.col("__category"), wanted, SPECIAL)
@@ -260,7 +275,7 @@ def _with_category(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_codes(rows: DataFrame) -> DataFrame:
+def _with_codes(rows: Steps) -> Steps:
     """Part numbers (model, title, labelled rows and lines, then the SKU) and model numbers."""
     sheets = F.array_join(
         F.transform(_spec_values(("text", "description", "technical information")), lambda v: F.regexp_replace(v, "<[^>]*>", "\n")), "\n"
@@ -287,7 +302,7 @@ def _with_codes(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_brand(rows: DataFrame) -> DataFrame:
+def _with_brand(rows: Steps) -> Steps:
     """Folded brand; category words are none, and a title's first telling word may stand in."""
     given = identifiers.brand(F.col("brand"))
     rows = rows.withColumns(
@@ -322,7 +337,7 @@ def _with_brand(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__brand", F.coalesce(kept, stand_in))
 
 
-def _with_signatures(rows: DataFrame) -> DataFrame:
+def _with_signatures(rows: Steps) -> Steps:
     t, blob, category = F.col("__t"), F.col("__blob"), F.col("__category")
     condition = titles.condition(F.col("title"))
     edition = F.coalesce(F.col("__edition"), titles.variant_value("edition", _get("variant_attrs", "edition")))

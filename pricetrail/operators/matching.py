@@ -527,10 +527,37 @@ def gtin_consensus(references: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def with_learned_gtin(identities: DataFrame, learned: DataFrame, id_column: str = "ref_id") -> DataFrame:
-    """References with the learned barcode filled in, for the second matching pass."""
+def with_learned_gtin(items: DataFrame, learned: DataFrame, id_column: str = "ref_id") -> DataFrame:
+    """Items with the learned barcode filled in where they have none."""
     known = learned.select(F.col("ref_id").alias(id_column), F.col("gtin").alias("__learned"))
-    return identities.join(known, id_column, "left").withColumn("gtin", F.coalesce("gtin", "__learned")).drop("__learned")
+    return items.join(known, id_column, "left").withColumn("gtin", F.coalesce(identifiers.gtin(F.col("gtin")), "__learned")).drop("__learned")
+
+
+def match_and_learn(refs: DataFrame, cands: DataFrame, ref_id: str = "ref_id", cand_id: str = "cand_id") -> DataFrame:
+    """``match`` without rejects, repeated with the barcodes that it teaches the references until none learns any more.
+
+    Each pass is semi-naive: only references that have just learned a barcode are scored again, and only with the
+    candidates they met before or that carry this barcode, as no other pair can have changed. A reference learns once, by
+    the consensus of its automatic matches, so the passes come to an end.
+    """
+    refs = refs if "gtin" in refs.columns else refs.withColumn("gtin", F.lit(None).cast("string"))
+    cands = staged(cands.withColumn("__code", identifiers.gtin(F.col("gtin"))))
+    plain = cands.drop("__code")
+    scored = staged(match(refs, plain, ref_id, cand_id, rejects=False))
+    while True:
+        taught = refs.select(F.col(ref_id).alias("ref_id"), identifiers.gtin(F.col("gtin")).alias("gtin"), identifiers.brand(F.col("brand")).alias("brand"))
+        sources = cands.select(cand_id, F.coalesce("store", F.lit("")).alias("store"), F.col("__code").alias("gtin"), "brand").where("gtin is not null")
+        hits = scored.join(sources, cand_id).select(F.col(ref_id).alias("ref_id"), "store", F.col("score.decision").alias("decision"), "gtin", "brand", F.xxhash64(cand_id).alias("seq"))
+        untaught = taught.where("gtin is null").select("ref_id")
+        new = staged(gtin_consensus(taught, hits).join(untaught, "ref_id").select("ref_id", "gtin"))
+        if new.isEmpty():
+            return scored
+        keys = new.select(F.col("ref_id").alias(ref_id))
+        touched = staged(with_learned_gtin(refs.join(keys, ref_id, "left_semi"), new, ref_id))
+        met = scored.join(keys, ref_id, "left_semi").select(cand_id).unionByName(cands.join(new.select(F.col("gtin").alias("__code")).distinct(), "__code").select(cand_id))
+        again = match(touched, plain.join(met.distinct(), cand_id, "left_semi"), ref_id, cand_id, rejects=False)
+        scored = staged(scored.join(keys, ref_id, "left_anti").unionByName(again))
+        refs = staged(with_learned_gtin(refs, new, ref_id))
 
 
 # --- semantic support -------------------------------------------------------------------------

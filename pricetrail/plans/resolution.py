@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import titles
@@ -214,6 +214,37 @@ def gtin_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.gtin_consensus(refs, hits)
 
 
+def phone_gtin() -> Column:
+    """A valid barcode for each phone: twelve digits from its number, size and colour, and the check digit."""
+    colour = F.when(F.col("c") == "black", "1").when(F.col("c") == "blue", "2").otherwise("3")
+    body = F.concat(F.lit("78910"), F.col("n"), F.col("gb"), colour, F.lit("0"))
+    digits = [F.substring(body, k + 1, 1).cast("int") * (3 if k % 2 else 1) for k in range(12)]
+    return F.concat(body, F.pmod(-sum(digits[1:], digits[0]), F.lit(10)).cast("string"))
+
+
+@query(
+    "gtin_second_pass",
+    "WITH " + PHONES_SQL + """,
+    o AS (SELECT *, p_partkey % 6 = 1 AS opaque, p_partkey % 4 = 0 AS coded FROM ph),
+    learned AS (SELECT DISTINCT n, gb, c, true AS known FROM o WHERE NOT opaque AND coded AND kind <> 'PROMO')
+    SELECT ref.ref_id, o.cand_id, 'auto_match' AS decision, CAST(CASE WHEN l.known AND (opaque OR coded) THEN 0.99 ELSE 0.92 END AS DECIMAL(5,4)) AS confidence
+    FROM o JOIN ref ON ref.n = o.n AND ref.gb = o.gb AND ref.c = o.c LEFT JOIN learned l ON l.n = o.n AND l.gb = o.gb AND l.c = o.c
+    WHERE CASE WHEN opaque THEN l.known ELSE kind <> 'PROMO' END""",
+)
+def gtin_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sixth of all offers name only their brand and a barcode, which the products learn from the others."""
+    key = F.col("cand_id")
+    opaque, coded = key % 6 == 1, key % 4 == 0
+    offers = phone_offers(spark, sf_dir).withColumns(
+        {
+            "gtin": F.when(opaque | coded, phone_gtin()), "title": F.when(opaque, F.concat(F.lit("Oferta "), key.cast("string"))).otherwise(F.col("title")),
+            "brand": F.when(opaque, "Apple").otherwise(F.col("brand")), "model": F.when(~opaque, F.col("model")),
+        }
+    ).drop("n", "gb", "c", "kind")
+    found = matching.match_and_learn(phone_products(spark, sf_dir).drop("n", "gb", "c"), offers)
+    return found.select("ref_id", "cand_id", "score.decision", "score.confidence")
+
+
 # --- vectors ----------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ def test_registry():
     assert len(queries) > 100
     assert set(oracles) <= set(queries)
     assert set(registry.QUERIES) <= set(queries)
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"spacing_audit", "search_queries"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"search_queries"}
 
 
 def test_entry(spark):
