@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import literal_list
 from ..operators import images, pages, reports, runs
-from ..sources import rate_pages
+from ..session import shared_path
+from ..sources import rate_pages, records
 from .views import table, utc
 
 QUERIES: dict = {}
@@ -95,6 +96,54 @@ def sample_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.duplicates(table(spark, sf_dir, "documents"), ["text"])
 
 
+def labelled_file(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` with ``labels`` written as a labelled set of JSON lines, some of them with one fault each."""
+    gold = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    k = F.col("doc_id")
+    identity = lambda title, extra: F.struct(title.alias("title"), F.col("source").alias("store"), extra.alias("colour"))
+    faulty = lambda every, at: k % every == at
+    none = F.lit(None).cast("string")
+    group = k % 200
+    pair = F.struct(
+        F.when(faulty(101, 3), "2").otherwise("1").alias("schema_version"),
+        F.when(faulty(89, 5), k - 1).otherwise(k).cast("string").alias("sample_id"),
+        F.concat(F.lit("g"), group).alias("group_id"),
+        F.when(faulty(103, 7), "other").otherwise(F.element_at(literal_list(list(reports.SPLITS)), ((group + F.when(faulty(97, 0), 1).otherwise(0)) % 5 + 1).cast("int"))).alias("split"),
+        F.when(faulty(107, 9), "maybe").when(F.col("quality").isNull(), "uncertain").when(F.col("quality") == 1, "same_product").otherwise("different_product").alias("label"),
+        F.col("source").alias("category"), F.when(faulty(83, 2), " ").otherwise(F.col("lang")).alias("reference_language"), F.lit("en").alias("candidate_language"),
+        F.when(faulty(109, 11), "guess").when(k % 2 == 0, "synthetic").alias("provenance"), F.when(faulty(113, 13), "x").alias("comment"),
+        identity(F.when(~faulty(131, 19), F.col("text")), none).alias("reference"), identity(F.lit("a title"), F.when(faulty(137, 23), "red")).alias("candidate"),
+    )
+    lines = table(spark, sf_dir, "documents").join(gold, "doc_id", "left").select(F.when(faulty(127, 17), "[broken").otherwise(F.to_json(pair)).alias("value"))
+    path = shared_path(spark, "labelled")
+    lines.write.text(path)
+    return path
+
+
+@query(
+    "labelled_pairs",
+    """WITH d AS (SELECT documents.*, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    p AS (SELECT CASE WHEN doc_id % 127 <> 17 THEN CAST(CASE WHEN doc_id % 89 = 5 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) END AS sample_id, doc_id % 200 AS group_id,
+        CASE WHEN doc_id % 103 = 7 THEN 'other' ELSE (['development', 'train', 'calibration', 'validation', 'holdout'])[
+          CAST((doc_id % 200 + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END) % 5 + 1 AS INTEGER)] END AS split,
+        CASE WHEN doc_id % 107 = 9 THEN 'maybe' WHEN quality IS NULL THEN 'uncertain' WHEN quality = 1 THEN 'same_product' ELSE 'different_product' END AS label,
+        source AS category, length(text) AS title_chars,
+        CASE WHEN doc_id % 127 = 17 THEN 'malformed' WHEN doc_id % 113 = 13 OR doc_id % 137 = 23 THEN 'unknown_field' WHEN doc_id % 101 = 3 THEN 'schema_version'
+          WHEN source IS NULL OR trim(source) = '' OR lang IS NULL OR trim(lang) = '' OR doc_id % 83 = 2 THEN 'text_missing' WHEN doc_id % 103 = 7 THEN 'split'
+          WHEN doc_id % 107 = 9 THEN 'label' WHEN doc_id % 109 = 11 THEN 'provenance' WHEN text IS NULL OR doc_id % 131 = 19 THEN 'identity' END AS error FROM d),
+    good AS (SELECT * FROM p WHERE error IS NULL)
+    SELECT sample_id, split, label, category, title_chars, error FROM good
+    UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, error FROM p WHERE error IS NOT NULL
+    UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, 'sample_id_repeated' FROM good GROUP BY sample_id HAVING count(*) > 1
+    UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, 'group_in_two_splits' FROM good
+      WHERE group_id IN (SELECT group_id FROM good GROUP BY group_id HAVING count(DISTINCT split) > 1)""",
+)
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, refused = records.labelled_pairs(spark, labelled_file(spark, sf_dir))
+    kept = good.select("sample_id", "split", "label", "category", F.length("reference.title").cast("long").alias("title_chars"))
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 

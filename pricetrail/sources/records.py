@@ -90,7 +90,7 @@ PROVENANCE = ("live_match_run", "live_public_listings", "regression_fixture", "s
 def labelled_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Pairs of a JSON-lines file and the reasons any row or the set is unusable.
 
-    Checks: well-formed, version 1, no unknown field, known label, split and
+    Checks: well-formed, version 1, no unknown field in a pair or its two identities, known label, split and
     provenance, texts present, sample ids unique, groups within one split. The
     set may be used only if the second frame is empty and the first is not.
     """
@@ -99,11 +99,15 @@ def labelled_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         F.from_json("value", PAIR).alias("p"), F.json_object_keys("value").alias("keys"), "value",
     )
     pairs = parsed.select("p.*", "keys", "value")
-    known = F.array(*[F.lit(f.name) for f in PAIR.fields])
+    names = lambda schema: F.array(*[F.lit(f.name) for f in schema.fields])
+    nested = lambda side: F.coalesce(F.json_object_keys(F.get_json_object("value", f"$.{side}")), F.array().cast("array<string>"))
+    unknown = F.concat(
+        F.array_except("keys", names(PAIR)), F.array_except(F.concat(nested("reference"), nested("candidate")), names(IDENTITY_FIELDS))
+    )
     empty = lambda c: blank_to_null(F.col(c)).isNull()
     error = (
         F.when(F.col("keys").isNull(), "malformed")
-        .when(F.size(F.array_except("keys", known)) > 0, "unknown_field")
+        .when(F.size(unknown) > 0, "unknown_field")
         .when(~F.coalesce(F.col("schema_version") == "1", F.lit(False)), "schema_version")
         .when(empty("sample_id") | empty("group_id") | empty("category"), "text_missing")
         .when(empty("reference_language") | empty("candidate_language"), "text_missing")
