@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import matches_all_terms
 from ..operators import changes, feed
 from ..schema import PAYLOAD
+from ..session import shared_path
+from ..sources import sinks
 from . import views
 from .views import OBSERVATIONS_SQL, OFFER_EVENTS_SQL, table, utc
 
@@ -95,6 +97,28 @@ def offer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "history_replay",
+    "WITH " + OBSERVATIONS_SQL + """
+    SELECT listing_id, observation_id, price, currency, seller, availability, epoch_us(scraped_at) AS scraped_us, CAST(CAST(scraped_at AS DATE) AS VARCHAR) AS day
+    FROM obs WHERE outcome = 'ok'""",
+)
+def history_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: the second crashes half way before it is written whole, the third is replayed."""
+    rows = views.observations(spark, sf_dir).where("outcome = 'ok'").select(
+        "listing_id", "observation_id", "price", "currency", "seller", "availability", "scraped_at"
+    )
+    folder = shared_path(spark, "history")
+    for n in (0, 1, 2, 2, 3):
+        batch = rows.where(F.pmod("observation_id", F.lit(4)) == n)
+        if n == 1:
+            sinks.stage_batch(batch.where("listing_id % 2 = 0"), folder, str(n), "scraped_at")
+        sinks.append_batch(batch, folder, str(n), "scraped_at")
+    return sinks.committed(spark, folder, rows.schema).select(
+        "listing_id", "observation_id", "price", "currency", "seller", "availability", micros("scraped_at").alias("scraped_us"), F.col("day").cast("string").alias("day")
+    )
+
+
 @query(
     "offer_asof",
     "WITH " + OBSERVATIONS_SQL + """,
