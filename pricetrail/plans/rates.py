@@ -249,3 +249,19 @@ def price_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.array_join(warnings, ",").alias("warnings")).agg(
         F.count("*").alias("offers"), F.count(off).alias("discounted")
     )
+
+
+@query(
+    "fx_failures",
+    "WITH " + QUOTES_SQL + """,
+    f AS (SELECT *, seq % 3 <> 0 AND seq % 32 < 20 AS ok FROM q),
+    g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY base_currency, quote_currency, rate_type ORDER BY fetched_at, seq) AS island FROM f)
+    SELECT seq, base_currency, quote_currency, rate_type, ok, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (
+      PARTITION BY base_currency, quote_currency, rate_type, island ORDER BY fetched_at, seq) AS BIGINT) AS failures_in_a_row FROM g""",
+)
+def fx_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as fetches, some of which fail: failures in a row of each pair and type, none after a fetch that worked."""
+    fetches = quotes(spark, sf_dir).withColumn("ok", (F.col("seq") % 3 != 0) & (F.col("seq") % 32 < 20))
+    return fx.failure_counts(fetches, ["fetched_at", "seq"]).select(
+        "seq", *fx.RATE_KEY, "ok", F.col("failures_in_a_row").cast("long").alias("failures_in_a_row")
+    )

@@ -8,7 +8,7 @@ MODULES = [history, watch, rates, wording, resolution, reporting, searching]
 
 #: Sequence queries that run once more with so few rows to a segment that most keys are cut, against the same SQL.
 CUT_ROWS = {"offer_diff": 8, "offer_asof": 8, "failure_streak": 20, "change_marks": 8, "title_similarity": 10, "cosine_pairs": 4, "candidate_rank": 20, "gtin_running": 3,
-            "quota_audit": 12, "spacing_audit": 12, "adaptive_ttl": 6, "fx_accept": 12}
+            "quota_audit": 12, "spacing_audit": 12, "adaptive_ttl": 6, "fx_accept": 12, "fx_failures": 12}
 CUT_SETTING = "pricetrail.sequence.cutRows"
 
 QUERIES: dict = {}
