@@ -265,3 +265,39 @@ def fx_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.failure_counts(fetches, ["fetched_at", "seq"]).select(
         "seq", *fx.RATE_KEY, "ok", F.col("failures_in_a_row").cast("long").alias("failures_in_a_row")
     )
+
+
+@query(
+    "fx_freshness",
+    f"""WITH r AS (SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'broken' END AS status, epoch(o_orderdate) AS fetched FROM orders)
+    SELECT seq, status, CASE WHEN status IN ('fresh', 'unavailable') THEN status
+      WHEN fetched < epoch(TIMESTAMP '1996-01-01') - {fx.STALE_AFTER_SECONDS} THEN 'stale' ELSE 'fresh' END AS freshness FROM r""",
+)
+def fx_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes with a known, an unknown or no status: what their age makes of them."""
+    k, now = F.col("seq"), F.lit("1996-01-01").cast("timestamp")
+    rows = quotes(spark, sf_dir).select("seq", "fetched_at", F.when(k % 4 == 0, "fresh").when(k % 4 == 1, "unavailable").when(k % 4 == 2, "broken").alias("status"))
+    return rows.select("seq", "status", fx.freshness(F.col("status"), F.col("fetched_at"), now).alias("freshness"))
+
+
+@query(
+    "price_plausibility",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,4)) AS price, CAST(l_quantity AS BIGINT) * 1000 AS other,
+        ([21.00, 20.00, 20.04])[l_linenumber % 3 + 1] AS pct, ([NULL, 'BRL', 'USD'])[l_linenumber % 3 + 1] AS currency FROM lineitem),
+    t AS (SELECT *, CAST(price * CAST(1.25 AS DECIMAL(3,2)) AS DECIMAL(18,4)) AS total FROM p)
+    SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part_id, price,
+      CASE WHEN total > price AND abs(total * (100 - pct) / 100 - price) <= greatest(0.05, total * 0.0005) THEN total END AS original,
+      price > 0 AND other > 0 AND coalesce(currency = 'BRL', true) AND greatest(price, other) >= 4 * least(price, other) AS extreme FROM t""",
+)
+def price_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line prices against an instalment total with a cash discount, and against a second price in the same, another or no currency."""
+    kind = F.col("l_linenumber") % 3
+    price, other = F.col("l_extendedprice").cast("decimal(18,4)"), (F.col("l_quantity").cast("long") * 1000).cast("decimal(18,4)")
+    percent = F.when(kind == 0, F.lit("21.00")).when(kind == 1, F.lit("20.00")).otherwise(F.lit("20.04")).cast("decimal(6,2)")
+    total = (price * F.lit("1.25").cast("decimal(3,2)")).cast("decimal(18,4)")
+    currency = F.when(kind == 1, "BRL").when(kind == 2, "USD")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"), price.alias("price"),
+        money.original_from_instalments(total, percent, price).alias("original"),
+        money.price_extreme(price, other, F.lit("BRL"), currency).alias("extreme"),
+    )
