@@ -202,6 +202,18 @@ def terminal_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.terminal_stores(rows).select("run_id", F.array_join("stores", ",").alias("stores"))
 
 
+@query(
+    "open_stores",
+    "WITH " + RUNS_SQL + """, target AS (SELECT l_orderkey AS run_id, l_suppkey AS store FROM sr UNION SELECT l_orderkey, l_suppkey + 1 FROM sr WHERE l_linenumber = 1)
+    SELECT run_id, store FROM target EXCEPT SELECT l_orderkey, l_suppkey FROM sr WHERE status <> 'running'""",
+)
+def open_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores that a run was to search, one of them perhaps not begun, without those that have ended."""
+    rows = store_runs(spark, sf_dir)
+    more = rows.where("l_linenumber = 1").select("run_id", (F.col("store") + 1).alias("store"))
+    return runs.open_stores(rows.select("run_id", "store").unionByName(more).distinct(), rows)
+
+
 @query(
     "run_liveness",
     "WITH " + RUNS_SQL + f""" SELECT CASE WHEN status = 'pending' THEN 'active' WHEN status = 'running' THEN CASE WHEN coalesce(claim_expires_at > TIMESTAMP '{NOW}', false) THEN 'active'
