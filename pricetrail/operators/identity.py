@@ -13,7 +13,7 @@ from ..functions.patterns import among, compact, let, literal_list, rx, rx_all,
 from ..functions.text import fold_key
 from ..rules import catalog
 from ..schema import MONEY, STR_MAP
-from ..session import staged
+from ..session import spread, staged
 
 TEXT_COLUMNS = ("title", "brand", "model", "variant", "gtin", "sku", "store", "product_id", "currency", "category")
 EXTRA_KEYS = ("color", "storage", "size", "capacity", "ram", "vram", "edition", "network_lock")
@@ -129,7 +129,7 @@ def describe(*items: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     A text that very many offers share is parsed once: descriptions combine before the shuffle.
     """
-    rows = [with_description(frame) for frame in items]
+    rows = [with_description(spread(frame)) for frame in items]
     own = [[*[c for c in frame.columns if c not in (*DESCRIPTION_TEXTS, *DESCRIPTION_MAPS)], *[c for c in OFFER_COLUMNS if c not in frame.columns], "description_id"] for frame in items]
     entries = [F.array_sort(F.map_entries(c)).alias(c) for c in DESCRIPTION_MAPS]
     texts = [frame.select("description_id", *DESCRIPTION_TEXTS, *entries) for frame in rows]
@@ -147,7 +147,7 @@ def build_sides(refs: DataFrame, cands: DataFrame) -> tuple[DataFrame, DataFrame
     run together and read back as two filtered scans.
     """
     both = refs.withColumn("side", F.lit("ref")).unionByName(cands.withColumn("side", F.lit("cand")), allowMissingColumns=True)
-    built = staged(build_identities(both))
+    built = staged(build_identities(spread(both)))
     return built.where("side = 'ref'").drop("side"), built.where("side = 'cand'").drop("side")
 
 
@@ -509,8 +509,7 @@ def search_queries(rows: DataFrame, locales: Sequence[str]) -> DataFrame:
 
 def _title_phrase(folded: Column) -> Column:
     """The title as a search phrase: no part numbers, bus widths, units or shop words."""
-    codes = identifiers.part_number_matches(folded)
-    text = F.aggregate(codes, folded, lambda acc, m: F.replace(acc, m, F.lit(" ")))
+    text = let(folded, lambda t: F.aggregate(identifiers.part_number_matches(t), t, lambda acc, m: F.replace(acc, m, F.lit(" "))))
     for pattern in (
         r"\b\d+\s*-\s*bits?\b", r"\b\d+(?:[.,]\d+)?\s*(?:ghz|mhz|khz|hz|mah|mp)\b",
         r"\b\d+(?:[.,]\d+)?\s*(?:\"|pol(?:egadas)?|inch(?:es)?)", r"\b\d+\s*gb\s*ram\b", r"\b\d+(?:[+x]\d+){1,}(?:mp)?\b",
