@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, titles, urls
+from ..functions.patterns import literal_list
 from ..functions.text import blank_to_null, fold_key, words
 from ..rules import catalog
 from ..sequences import KeyedSequence
+from ..session import spread, staged
 from .matching import brands_compatible
 
 # How long a compact query must be to count as a whole, and how much of a title's length counts.
@@ -20,10 +22,14 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(words(text), " "), lambda t: t != ""))
 
 
-def _ranked(rows: DataFrame, keys: list[str], seq: str, scores: dict[str, Column]) -> DataFrame:
-    """Adds ``rank`` from one per key: larger scores first, then the order in which the rows came."""
+def _ranked(rows: DataFrame, keys: list[str], seq: str, scores: dict[str, Column], helpers: list[str]) -> DataFrame:
+    """Adds ``rank`` from one per key: larger scores first, then the order in which the rows came.
+
+    Scores are staged, so that a sequence with cut keys reads them again instead of the titles. The ``helpers``, columns that only scores need, go.
+    """
     order = {f"__{k}": -v for k, v in scores.items()}
-    numbered = KeyedSequence(rows.withColumns(order), keys, [*order, seq]).running({"rank": F.lit(1)}).result()
+    scored = staged(rows.withColumns(order).drop(*helpers))
+    numbered = KeyedSequence(scored, keys, [*order, seq]).running({"rank": F.lit(1)}).result()
     return numbered.drop(*order)
 
 
@@ -33,7 +39,7 @@ def rank_for_query(candidates: DataFrame, query: Column, keys: list[str], seq: s
     Words are looked for in the title and the path of the link; what follows the path may
     repeat the query and is left out. Nothing is dropped.
     """
-    rows = candidates.withColumns(
+    rows = spread(candidates).withColumns(
         {
             "__title": fold_key(titles.candidate_text(F.col("title"), F.col("url"))),
             "__path": F.coalesce(fold_key(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)), F.lit("")),
@@ -53,7 +59,7 @@ def rank_for_query(candidates: DataFrame, query: Column, keys: list[str], seq: s
         "hits": F.size(F.array_intersect("__asked", "__found")),
         "length": F.least(F.length("__title"), F.lit(TITLE_WEIGHT)),
     }
-    return _ranked(rows, keys, seq, scores).drop("__title", "__path", "__asked", "__whole", "__found")
+    return _ranked(rows, keys, seq, scores, ["__title", "__path", "__asked", "__whole", "__found"])
 
 
 def prefer_aligned(candidates: DataFrame, color: Column, storage: Column, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -61,11 +67,18 @@ def prefer_aligned(candidates: DataFrame, color: Column, storage: Column, keys:
 
     Without either the order stays.
     """
-    hue = titles.variant_value("color", color)
-    wanted = [F.when(hue.isNotNull() & (F.array_contains(F.split(hue, " "), to) | (hue == to)), F.lit(name)) for name, to in catalog.COLORS.items()]
-    size = fold_key(storage)
-    boost = F.array(fold_key(color), *[F.get(F.split(hue, " "), F.lit(k)) for k in range(3)], *wanted, size, F.regexp_replace(size, r"\s+", ""))
-    rows = candidates.withColumns(
+    # the colour's canonical name is read once a row, not once for each colour it is compared with
+    asked = spread(candidates).withColumns({"__hue": titles.variant_value("color", color), "__size": fold_key(storage)})
+    asked = asked.withColumn("__hues", F.split("__hue", " "))
+    names, hues = (literal_list(side) for side in (catalog.COLORS, catalog.COLORS.values()))
+    named = F.transform(F.arrays_zip(names.alias("name"), hues.alias("to")), lambda c: F.when(F.array_contains("__hues", c["to"]) | (F.col("__hue") == c["to"]), c["name"]))
+    none = F.array().cast("array<string>")
+    boost = F.concat(
+        F.array(fold_key(color), *[F.get("__hues", F.lit(k)) for k in range(3)]),
+        F.when(F.col("__hue").isNull(), none).otherwise(named),
+        F.array("__size", F.regexp_replace("__size", r"\s+", "")),
+    )
+    rows = asked.withColumns(
         {
             "__title": fold_key(titles.candidate_text(F.col("title"), F.col("url"))),
             "__boost": F.array_distinct(F.filter(boost, lambda t: t.isNotNull() & (F.length(t) >= 2))),
@@ -75,7 +88,7 @@ def prefer_aligned(candidates: DataFrame, color: Column, storage: Column, keys:
     hits = F.size(F.array_intersect("__boost", _tokens(F.col("__title")))) + F.size(F.filter("__boost", lambda t: F.col("__one").contains(t)))
     none = F.size("__boost") == 0
     scores = {"hits": F.when(none, 0).otherwise(hits), "length": F.when(none, 0).otherwise(F.least(F.length("__title"), F.lit(TITLE_WEIGHT)))}
-    return _ranked(rows, keys, seq, scores).drop("__title", "__boost", "__one")
+    return _ranked(rows, keys, seq, scores, ["__title", "__hue", "__size", "__hues", "__boost", "__one"])
 
 
 def candidate_key(store: Column, product_id: Column, url: Column) -> Column:
