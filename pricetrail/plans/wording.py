@@ -10,6 +10,7 @@ from ..functions.patterns import literal_list
 from ..functions.text import fold_key, ordered_terms
 from ..operators import changes, pages
 from ..schema import S, struct
+from ..session import spread, staged
 from . import views
 from .views import OBSERVATIONS_SQL, table
 
@@ -265,7 +266,7 @@ def title_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x.a AS attribute, x.v AS value, count(*) AS products FROM a GROUP BY ALL""",
 )
 def title_attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog_titles(spark, sf_dir).withColumn("category", title_attributes.category_of(F.col("title")))
+    rows = spread(catalog_titles(spark, sf_dir)).withColumn("category", title_attributes.category_of(F.col("title")))
     found = rows.select(F.explode(title_attributes.title_attributes(F.col("title"), F.col("category"))).alias("attribute", "value"))
     return found.groupBy("attribute", "value").agg(F.count("*").alias("products"))
 
@@ -278,7 +279,8 @@ def title_attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("size"), F.col("p_size").cast("string")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", titles.title_tokens(titles.normalize_title(title)).alias("t"))
+    # staged, as a sequence with cut keys reads its rows several times
+    rows = staged(spread(table(spark, sf_dir, "part")).select("p_partkey", "p_brand", titles.title_tokens(titles.normalize_title(title)).alias("t")))
     from ..sequences import KeyedSequence
 
     paired = KeyedSequence(rows, ["p_brand"], ["p_partkey"]).carry({"prev": F.col("t")}).result()
@@ -293,7 +295,8 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.col("p_size") * 64).cast("string")
     title = F.concat(F.lit("Oferta: Vermelho PRETO de widget "), size, F.lit(" GB (MZ-V9S1T0B/AM) sem fio"))
     normal = titles.normalize_title(title)
-    return table(spark, sf_dir, "part").select("p_partkey", normal.alias("normalized"), F.size(titles.title_tokens(normal)).alias("tokens"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", normal.alias("normalized"))
+    return rows.withColumn("tokens", F.size(titles.title_tokens(F.col("normalized"))))
 
 
 @query(
