@@ -11,6 +11,7 @@ from ..functions import grammars, identifiers, title_attributes, units
 from ..functions.patterns import among, any_of, let, literal_list, squash
 from ..functions.text import fold_key
 from ..rules import catalog
+from ..session import spread
 
 RAM_LABEL = r"\bram\b|memoria\s*ram|system memory"
 DISK_LABEL = r"storage|armazen|almacen|ssd|hdd|disco|built-in|memoria\s*interna|internal\s*memory"
@@ -67,7 +68,7 @@ def from_specifications(specs: DataFrame, attributes: Sequence[str]) -> DataFram
 def from_titles(products: DataFrame) -> DataFrame:
     """Evidence rows of titles (product_id, title, category)."""
     made = title_attributes.title_attributes(F.col("title"), F.col("category"))
-    return products.select("product_id", F.explode(made).alias("attribute", "value")).select(
+    return spread(products).select("product_id", F.explode(made).alias("attribute", "value")).select(
         "product_id", "attribute", F.lit("title").alias("source"), "value"
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, urls
 from ..functions.money import parse_money
-from ..functions.patterns import has_any, rx, rx_all, squash
+from ..functions.patterns import has_any, let, rx, rx_all, squash
 from ..functions.text import blank_to_null
 from ..rules import pages as rules
 
@@ -349,8 +349,9 @@ def absolute_link(link: Column, base: Column) -> Column:
 def gallery(images: Column, base: Column) -> Column:
     """Absolute image links in order, without repeats or other sizes of one picture."""
     full = F.transform(F.filter(images, lambda i: F.trim(i) != ""), lambda i: absolute_link(i, base))
-    size_free = F.transform(full, lambda i: F.regexp_replace(i, "(?i)/(?:small|medium|large|xlarge)/", "/<size>/"))
-    return F.filter(full, lambda i, n: F.array_position(size_free, F.get(size_free, n)) == n + 1)
+    size_free = lambda links: F.transform(links, lambda i: F.regexp_replace(i, "(?i)/(?:small|medium|large|xlarge)/", "/<size>/"))
+    first = lambda links, free: F.filter(links, lambda i, n: F.array_position(free, F.get(free, n)) == n + 1)
+    return let(full, lambda links: let(size_free(links), lambda free: first(links, free)))
 
 
 def gallery_rows(galleries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import literal_list
 from ..operators import images, pages, reports, runs
-from ..session import shared_path
+from ..session import shared_path, spread
 from ..sources import rate_pages, records
 from .views import table, utc
 
@@ -617,7 +617,7 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("a.jpg"), F.concat(F.lit("/img/large/"), size, F.lit(".jpg")), F.lit("//cdn.example/x.jpg"),
         F.concat(F.lit("https://s.example/img/small/"), size, F.lit(".jpg")), F.lit(" "), F.lit("a.jpg"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(pages.gallery(raw, F.lit("https://s.example/p/1")), "|").alias("links"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.array_join(pages.gallery(raw, F.lit("https://s.example/p/1")), "|").alias("links"))
 
 
 # --- rate pages -------------------------------------------------------------------------------
