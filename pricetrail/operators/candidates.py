@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, titles, urls
@@ -99,12 +99,23 @@ def candidate_key(store: Column, product_id: Column, url: Column) -> Column:
     )
 
 
-def first_of_each(candidates: DataFrame, keys: list[str], identity: Column, limit: int | None = None, order: str = "rank") -> DataFrame:
-    """The first hit of each search for every identity, in order, at most ``limit`` of a search; hits without one go."""
-    known = candidates.withColumn("__key", identity).where(F.col("__key").isNotNull())
-    firsts = known.groupBy(*keys, "__key").agg(F.min(order).alias(order))
-    kept = known.join(firsts, [*keys, "__key", order], "left_semi").drop("__key")
-    numbered = KeyedSequence(kept, keys, [order]).running({"place": F.lit(1)}).result()
+def first_of_each(
+    candidates: DataFrame, keys: list[str], identity: Column, limit: int | None = None, order: str = "rank", within: DataFrame | None = None
+) -> DataFrame:
+    """The first hit of each search for every identity, in order, at most ``limit`` of a search; hits without one go.
+
+    ``within``: a table with the keys and order of all candidates that is read to find hot searches, where it costs less than they do.
+    Without a hot search one shuffle does all; with one, firsts are an aggregate that combines before its shuffle.
+    """
+    known = candidates.withColumn("__key", identity).dropna(subset=["__key", order, *keys])
+    sequence = KeyedSequence(known, keys, [order], within=within)
+    if sequence.cut:
+        firsts = known.groupBy(*keys, "__key").agg(F.min(order).alias(order))
+        sequence.df = sequence.df.join(firsts, [*keys, "__key", order], "left_semi")
+    else:
+        first = F.min(order).over(Window.partitionBy(*keys, "__key"))
+        sequence.df = sequence.df.repartition(*keys).withColumn("__first", first).where(F.col(order) == F.col("__first")).drop("__first")
+    numbered = sequence.running({"place": F.lit(1)}).result().drop("__key")
     return numbered if limit is None else numbered.where(F.col("place") <= limit)
 
 

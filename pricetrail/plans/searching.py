@@ -93,8 +93,10 @@ def candidate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("search"), F.concat(F.lit("HTTPS://kabum.com.br/item/"), (F.col("o_orderkey") % 4).cast("string"), F.lit("/?utm_source=x")).alias("reference_url")
     )
-    others = candidates.without_reference(rows, own, ["search"])
-    chosen = candidates.first_of_each(others, ["search"], candidates.candidate_key(F.col("store"), F.col("product_id"), F.col("url")), limit=3)
+    # keys are read before the rows are shuffled, which then leaves stores and product ids behind
+    keyed = rows.withColumn("key", candidates.candidate_key(F.col("store"), F.col("product_id"), F.col("url")))
+    others = candidates.without_reference(keyed, own, ["search"])
+    chosen = candidates.first_of_each(others, ["search"], F.col("key"), limit=3, within=rows)
     return chosen.select("search", "rank", "place")
 
 
