@@ -10,7 +10,7 @@ from ..functions.patterns import literal_list
 from ..functions.text import blank_to_null, fold_key, words
 from ..rules import catalog
 from ..sequences import KeyedSequence
-from ..session import spread, staged
+from ..session import dealt, spread, staged
 from .matching import brands_compatible
 
 # How long a compact query must be to count as a whole, and how much of a title's length counts.
@@ -147,19 +147,24 @@ def running_gtin(references: DataFrame, hits: DataFrame, cut_rows: int | None =
     barcode; one with another barcode unlearns it, and the next may teach again.
     """
     own = references.select("ref_id", F.col("brand").alias("ref_brand"), identifiers.gtin(F.col("gtin")).alias("own_gtin"))
-    rows = hits.join(own, "ref_id")
-    teaches = (F.col("decision") == "auto_match") & brands_compatible(F.col("ref_brand"), identifiers.brand(F.col("brand"))) & F.col("own_gtin").isNull()
-    rows = rows.withColumn("seen_gtin", F.when(F.coalesce(teaches, F.lit(False)), identifiers.gtin(F.col("gtin"))))
+    # what a hit may teach is found before the join, so that rows are sorted without what only this needs
+    code = F.when(F.col("decision") == "auto_match", identifiers.gtin(F.col("gtin")))
+    taught = F.col("__code").isNotNull()
+    told = hits.withColumn("__code", code).withColumns({"__maker": F.when(taught, identifiers.brand(F.col("brand"))), "__shop": F.when(taught, F.coalesce("store", F.lit("")))})
+    count = hits.count()
+    rows = dealt(told, count, "ref_id").join(dealt(own, count, "ref_id"), "ref_id")
+    teaches = taught & brands_compatible(F.col("ref_brand"), F.col("__maker")) & F.col("own_gtin").isNull()
+    rows = rows.withColumn("seen_gtin", F.when(F.coalesce(teaches, F.lit(False)), F.col("__code"))).drop("__code", "__maker", "ref_brand")
 
     seen = F.col("seen_gtin")
-    rows = KeyedSequence(rows, ["ref_id"], ["seq"], cut_rows).carry({"gtin_before": seen})
+    rows = KeyedSequence(rows, ["ref_id"], ["seq"], cut_rows, within=hits).carry({"gtin_before": seen})
     again = F.coalesce(seen == F.col("gtin_before"), F.lit(False))
     # A barcode seen twice running is known whatever came before; after that every other one unlearns or teaches in turn.
     rows = rows.streak("turns", seen.isNotNull() & ~again, again).carry({"__again": F.when(again, F.lit(True)), "__gtin": seen}, inclusive=True)
     known = F.col("turns") % 2 == F.when(F.col("__again"), F.lit(0)).otherwise(F.lit(1))
     rows = rows.with_columns({"__known": known}).carry({"__known_before": F.when(seen.isNotNull(), F.col("__known"))})
     teaches = seen.isNotNull() & ~F.coalesce("__known_before", F.lit(False))
-    rows = rows.carry({"__from": F.when(teaches, F.concat(F.lit("auto_match:"), F.coalesce("store", F.lit(""))))}, inclusive=True)
+    rows = rows.carry({"__from": F.when(teaches, F.concat(F.lit("auto_match:"), "__shop"))}, inclusive=True)
     learned = {"learned": F.when(F.col("__known"), F.col("__gtin")), "learned_from": F.when(F.col("__known"), F.col("__from"))}
     found = rows.result().withColumns(learned).drop("gtin_before", "turns", "__again", "__gtin", "__known", "__known_before", "__from")
     fixed = F.col("own_gtin").isNotNull()
@@ -168,4 +173,4 @@ def running_gtin(references: DataFrame, hits: DataFrame, cut_rows: int | None =
             "learned": F.coalesce("own_gtin", "learned"),
             "learned_from": F.when(fixed, "reference").otherwise(F.col("learned_from")),
         }
-    ).drop("ref_brand", "own_gtin", "seen_gtin")
+    ).drop("own_gtin", "seen_gtin", "__shop")

@@ -5,14 +5,18 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from pricetrail import session
 from pricetrail.operators import candidates
 
+
 def exchanges(frame) -> int:
     return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
+
 HITS = [("s", 1, "a"), ("s", 1, "a"), ("s", 2, "a"), ("s", 3, "b"), ("s", 4, None), ("s", None, "c"), (None, 1, "a"), ("t", 5, "a"), ("t", 6, "b"), ("t", 7, "c"), ("t", 8, "b")]
 FIRSTS = [("s", 1, "a", 1), ("s", 1, "a", 2), ("s", 3, "b", 3), ("t", 5, "a", 1), ("t", 6, "b", 2), ("t", 7, "c", 3)]
 
+
 @pytest.mark.parametrize("cut", ["5000000", "2"])
 def test_firsts_of_a_search_take_one_shuffle(spark, cut):
     hits = spark.createDataFrame(HITS, "search string, rank int, id string")
@@ -24,3 +28,16 @@ def test_firsts_of_a_search_take_one_shuffle(spark, cut):
     assert sorted(found.select("search", "rank", "id", "place").collect()) == FIRSTS
     if cut == "5000000":
         assert exchanges(found) == 1
+
+
+def test_rows_of_a_barcode_task_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10, raising=False)
+    hits = spark.range(400).select(
+        (F.col("id") % 100).alias("ref_id"), F.col("id").alias("seq"), F.lit("s").alias("store"), F.when(F.col("id") % 100 < 50, "auto_match").otherwise("review").alias("decision"),
+        F.lit("789-1991010863").alias("gtin"), F.lit("Acme Corp").alias("brand"),
+    )
+    refs = spark.range(100).select(F.col("id").alias("ref_id"), F.lit(None).cast("string").alias("gtin"), F.lit("acme").alias("brand"))
+    found = candidates.running_gtin(refs, hits)
+    assert found.rdd.getNumPartitions() >= 40
+    assert {tuple(r) for r in found.groupBy("learned", "learned_from").count().collect()} == {("7891991010863", "auto_match:s", 200), (None, None, 200)}
+    assert set(found.columns) == {"ref_id", "seq", "store", "decision", "gtin", "brand", "learned", "learned_from"}
