@@ -35,13 +35,11 @@ def canonical(url: Column) -> Column:
             return p.contains("=") & (value(p) != "") & ~among(name, TRACKING_KEYS) & ~name.rlike("^(" + "|".join(TRACKING_PREFIXES) + ")")
 
         pairs = F.transform(F.filter(F.split(part(4), "&"), kept), lambda p: F.concat(coded(key(p)), F.lit("="), coded(value(p))))
-        query = F.array_join(pairs, "&")
+        # most links have no parameters: then their part is not looked for
+        query = F.when(text.contains("?"), let(F.array_join(pairs, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))).otherwise("")
         return F.when(
             text.rlike(PARTS),
-            F.concat(
-                F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path),
-                F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-            ),
+            F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), let(path, lambda p: F.when(p == "", "/").otherwise(p)), query),
         ).otherwise(text)
 
     return let(F.trim(url), built)

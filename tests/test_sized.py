@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pricetrail import session
-from pricetrail.operators import candidates
+from pricetrail.operators import candidates, catalog
+from pricetrail.plans import resolution
 
 
 def exchanges(frame) -> int:
@@ -41,3 +44,27 @@ def test_rows_of_a_barcode_task_do_not_grow_with_the_table(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 40
     assert {tuple(r) for r in found.groupBy("learned", "learned_from").count().collect()} == {("7891991010863", "auto_match:s", 200), (None, None, 200)}
     assert set(found.columns) == {"ref_id", "seq", "store", "decision", "gtin", "brand", "learned", "learned_from"}
+
+
+LISTINGS = [("b", "shop", "BR", "1", "X", "https://s/1/"), ("a", "shop", "BR", "1", "X", "https://s/1"), ("c", "shop", "BR", "2", "X", "https://s/2"), ("d", "shop", None, "3", " ", None)]
+REQUESTS = [(1, "shop", "BR", "9", "X", "HTTPS://S/2/?utm_source=a#b"), (2, "shop", "BR", "2", "X", None), (3, "shop", "BR", "9", "X", " "), (4, "shop", "BR", "1", None, "https://s/1/"), (5, "shop", "BR", "3", " ", None), (6, None, "BR", "1", "X", "https://s/1")]
+
+
+def test_listings_are_found_by_keys_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1, raising=False)
+    names = "store string, country string, product_id string, sku string, canonical_url string"
+    have, asked = spark.createDataFrame(LISTINGS, "id string, " + names), spark.createDataFrame(REQUESTS, "request_id long, " + names)
+    found = catalog.find_listings(asked, have)
+    assert sorted(tuple(r) for r in found.select("request_id", "listing_id", "found_by").collect()) == [(1, "c", 1), (2, "c", 2), (3, "a", 3), (4, "a", 1)]
+    # listings and requests are shuffled once by key, and what they found once by request
+    assert exchanges(found) == 3
+    dealt = re.findall(r"hashpartitioning\(hash#\d+L, key#\d+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and min(map(int, dealt)) >= 3 * len(LISTINGS)
+
+
+def test_listing_ids_of_many_listings_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10, raising=False)
+    spark.range(400).select((F.col("id") % 200).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = resolution.listings(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 40
+    assert made.where("match_decision = 'review'").count() == 200
