@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricetrail import session
 from pricetrail.operators import candidates, catalog
 from pricetrail.plans import resolution
+from pricetrail.schema import PAYLOAD
 
 
 def exchanges(frame) -> int:
@@ -68,3 +69,20 @@ def test_listing_ids_of_many_listings_are_dealt_by_their_number(spark, monkeypat
     made = resolution.listings(spark, str(tmp_path))
     assert made.rdd.getNumPartitions() == 40
     assert made.where("match_decision = 'review'").count() == 200
+
+
+def test_view_of_a_listing_carries_only_what_is_read(spark):
+    listings = spark.createDataFrame([("1", "phone", "none", None), ("2", "phone renewed", "none", None), ("3", None, "none", None)], "id string, title string, promotion_status string, promotion_expires_at timestamp")
+    payload = F.struct(*[(F.when(F.col("used"), "used") if f.name == "condition" else F.lit(None)).cast(f.dataType).alias(f.name) for f in PAYLOAD.fields])
+    shots = spark.createDataFrame(
+        [("1", "a", 10.0, 5, True), ("1", "b", 20.0, 5, False), ("1", "c", 30.0, None, True), ("2", "d", 40.0, 1, False), (None, "e", 50.0, 1, False)],
+        "listing_id string, id string, amount double, at long, used boolean",
+    ).select(
+        "listing_id", "id", F.col("amount").cast("decimal(18,4)").alias("price"), F.lit("BRL").alias("currency"), F.lit("the seller").alias("seller"), F.lit("in_stock").alias("availability"),
+        F.lit(True).alias("available"), payload.alias("payload"), F.timestamp_seconds("at").alias("scraped_at"),
+    )
+    rates = spark.createDataFrame([], "base_currency string, quote_currency string, rate_type string, rate decimal(24,12), source string, fetched_at timestamp, status string")
+    seen = catalog.listing_view(listings, shots, rates, F.timestamp_seconds(F.lit(100)))
+    assert {"seller", "snapshot_id", "scraped_at", "pix_price"} <= set(seen.columns) and not [c for c in seen.columns if c.startswith("__") or c == "payload"]
+    assert sorted((r["listing_id"], r["snapshot_id"], r["condition"]) for r in seen.collect()) == [("1", "b", None), ("2", "d", "renewed"), ("3", None, None)]
+    assert "the seller" not in seen.select("listing_id", "price", "condition")._jdf.queryExecution().optimizedPlan().toString()
