@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricetrail.operators import catalog
@@ -25,12 +26,17 @@ def counted_keys(monkeypatch):
     return ranks
 
 
-def test_listings_found_in_turn_are_those_found_at_once(spark):
+@pytest.mark.parametrize("most", [10_000_000, 1])
+def test_listings_found_in_turn_are_those_found_at_once(spark, monkeypatch, most):
+    monkeypatch.setattr(catalog, "LISTINGS_A_PASS", most)
     have, asked = spark.createDataFrame(LISTINGS, f"id string, {TEXTS}"), spark.createDataFrame(REQUESTS, f"request_id long, {TEXTS}")
+    have = have.unionByName(have.withColumns({"id": F.concat(F.lit("o"), "id"), "store": F.concat(F.lit(" other"), "store")}))
+    asked = asked.unionByName(asked.withColumns({"request_id": F.col("request_id") + 10, "store": F.concat(F.lit("other"), "store")}))
     rows = lambda found: sorted(tuple(r) for r in found.where("request_id is not null").collect())
     found = rows(catalog.find_listings_in_turn(asked, have))
     assert found == rows(catalog.find_listings(asked, have))
-    assert found == [(1, "c", 1), (2, "c", 2), (3, "a", 3), (4, "a", 1), (7, "c", 1)]
+    first = [(1, "c", 1), (2, "c", 2), (3, "a", 3), (4, "a", 1), (7, "c", 1)]
+    assert found == first + [(n + 10, f"o{i}", by) for n, i, by in first]
 
 
 def test_keys_of_a_kind_are_dealt_only_for_what_is_not_found(spark, monkeypatch):
